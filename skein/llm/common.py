@@ -9,7 +9,6 @@ Arrow buffers: no Python string is made for them.
 from __future__ import annotations
 
 import math
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -18,30 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.sources.storage import cut, shared_dir  # noqa: F401
+
 SEGMENT = 1 << 20  # bytes hashed at a time
 U = np.uint64
 
 
 # ---------------------------------------------------------------- session
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set here only where it is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = spark.sparkContext.getCheckpointDir()
-    if not at:
-        spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
-        at = spark.sparkContext.getCheckpointDir()
-    return at
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder as Parquet and read again: lineage ends here."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import chat, fertility, lm, media, mixing, packing, surrogates, toxicity
+from skein.llm import chat, fertility, jaccard, lm, media, mixing, packing, surrogates, toxicity
 from skein.llm.common import crc_mod_column, table
 
 
@@ -23,6 +23,10 @@ def op4_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.judge(table(spark, sf_dir, "documents"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -68,5 +72,5 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.features(media.store(table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_deleted_interpolation, op3_temperature_mixing, op4_fertility, op6_toxicity, op7_packing, op8_surrogates, op9_chat_format, op10_media)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_deleted_interpolation, op3_temperature_mixing, op4_fertility, op5_jaccard_join, op6_toxicity, op7_packing, op8_surrogates, op9_chat_format, op10_media)}
 ORACLE_SQL: dict[str, str] = {"op9_chat_format": OP9_SQL}
