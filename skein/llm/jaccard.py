@@ -40,7 +40,7 @@ from skein.llm.common import SLOT, U, Words, cut, mix, shingle_set, text_column
 from skein.llm.exchange import ask_all, asked, each_row, expand, gathered, squeeze
 from skein.operators.graph import connected_components
 
-SETS = "doc_id long, n_shingles long, sig binary, shared boolean, members binary, window array<long>"
+SETS = "doc_id long, text_key long, n_shingles long, sig binary, shared boolean, members binary, window array<long>"
 
 
 def needed(n: int | np.ndarray, percent: int) -> int | np.ndarray:
@@ -53,20 +53,21 @@ def _signature(members: np.ndarray) -> bytes:
         return b"".join(int(mix(members ^ SLOT[k]).sum(dtype=U)).to_bytes(8, "little") for k in (40, 41))
 
 
-def _sets(group: pa.Table, words: int) -> tuple[list, list[np.ndarray]]:
-    ids, sets = [], []
+def _sets(group: pa.Table, words: int) -> tuple[list, list, list[np.ndarray]]:
+    ids, keys, sets = [], [], []
     for batch in each_row(group):
         found = Words(batch.column("text"))
         ids += batch.column("doc_id").to_pylist()
+        keys += batch.column("text_key").to_pylist()
         sets += [shingle_set(found.hash[found.ptr[i] : found.ptr[i + 1]], words) for i in range(batch.num_rows)]
-    return ids, sets
+    return ids, keys, sets
 
 
 def shingle_sets(docs: DataFrame, words: int, percent: int, block_mb: float) -> DataFrame:
     """Each document's set size and signature, and for those that share a shingle in their window, set and window."""
 
     def ask(group: pa.Table, blk: int, buckets: int) -> pa.Table:
-        _, sets = _sets(group, words)
+        _, _, sets = _sets(group, words)
         keys, counts = np.unique(np.concatenate([*sets, np.zeros(0, U)]), return_counts=True)
         return asked(keys, counts.astype(np.uint32), blk, buckets)
 
@@ -79,22 +80,22 @@ def shingle_sets(docs: DataFrame, words: int, percent: int, block_mb: float) ->
         return pa.table({"blk": pa.array(blks, pa.int64()), "bucket": pa.array([bucket] * len(blks), pa.int64()), "total": pa.array([squeeze(total[place[at[i] : at[i + 1]]]) for i in range(len(blks))], pa.binary())})
 
     def use(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, sets = _sets(left, words)
+        ids, text_keys, sets = _sets(left, words)
         keys = np.unique(np.concatenate([*sets, np.zeros(0, U)]))
         order = np.argsort(right.column("bucket").to_numpy())
         seen = np.concatenate([*(expand(right.column("total")[int(i)].as_py(), U) for i in order), np.zeros(0, U)])
         assert len(seen) == len(keys), "answers do not match the questions"
         out = []
-        for doc, own in zip(ids, sets):
+        for doc, text_key, own in zip(ids, text_keys, sets):
             n = len(own)
             often = seen[np.searchsorted(keys, own)]
             first = np.lexsort((own, often))[: n - needed(n, percent) + 1] if n else np.zeros(0, np.int64)
             window = own[first[often[first] > 1]]
-            out.append((doc, n, _signature(own) if n else None, len(window) > 0, own.tobytes() if len(window) else None, window.view(np.int64).tolist() if len(window) else None))
-        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.bool_(), pa.binary(), pa.list_(pa.int64()))
-        return pa.table({n: pa.array([r[k] for r in out], t) for k, (n, t) in enumerate(zip(("doc_id", "n_shingles", "sig", "shared", "members", "window"), kinds))})
+            out.append((doc, text_key, n, _signature(own) if n else None, len(window) > 0, own.tobytes() if len(window) else None, window.view(np.int64).tolist() if len(window) else None))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_(), pa.binary(), pa.list_(pa.int64()))
+        return pa.table({n: pa.array([r[k] for r in out], t) for k, (n, t) in enumerate(zip(("doc_id", "text_key", "n_shingles", "sig", "shared", "members", "window"), kinds))})
 
-    return ask_all(text_column(docs), block_mb, ask, answer, "blk long, bucket long, total binary", use, SETS)
+    return ask_all(text_column(docs).withColumn("text_key", F.xxhash64("text")), block_mb, ask, answer, "blk long, bucket long, total binary", use, SETS)
 
 
 # ---------------------------------------------------------------- distances
@@ -225,7 +226,7 @@ def _squares(big: DataFrame, small: int) -> DataFrame:
 
 
 def components(docs: DataFrame, words: int = 5, percent: int = 80, small: int = 128, pivots: int = 4, depth: int = 5, block_mb: float = 8.0) -> DataFrame:
-    """``doc_id``, ``n_shingles`` and ``component_id`` of every document."""
+    """``doc_id``, ``text_key`` (a hash of the text), ``n_shingles`` and ``component_id`` of every document."""
     found = cut(shingle_sets(docs, words, percent, block_mb), "jaccard-sets")
     sets = cut(found.filter("shared").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("members").alias("members"), F.first("window").alias("window")), "jaccard-classes")
     labels = connected_components(find_links(sets, percent, small, pivots, depth))
@@ -233,6 +234,23 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80, small: int =
     named = cut(named, "jaccard-named")
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = cut(named.join(least, "component").select("sig", "component_id"), "jaccard-names")
-    alone = found.filter(~F.col("shared")).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    grouped = found.filter("shared").select("doc_id", "n_shingles", "sig").join(named, "sig").select("doc_id", "n_shingles", "component_id")
+    alone = found.filter(~F.col("shared")).select("doc_id", "text_key", "n_shingles", F.col("doc_id").alias("component_id"))
+    grouped = found.filter("shared").select("doc_id", "text_key", "n_shingles", "sig").join(named, "sig").select("doc_id", "text_key", "n_shingles", "component_id")
     return alone.unionByName(grouped)
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` without those linked, over any number of links, to a document with a smaller id.
+
+    Of rows that repeat an id and its text one stays. Rows without shingles all stay.
+    """
+    rows = cut(components(docs, **options), "jaccard-components")
+    gone = rows.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct()
+    key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    keyed = docs.withColumn("_text_key", key)
+    kept = keyed.join(gone, keyed["doc_id"].cast("long").eqNullSafe(F.col("gone_id")) & (F.col("_text_key") == F.col("gone_key")), "left_anti")
+    twice = rows.filter("n_shingles > 0").groupBy("doc_id", "text_key").count().filter("count > 1")
+    if twice.limit(1).count():
+        empty = F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(r"^[\x20\x09-\x0D]*$")
+        kept = kept.filter(~empty).dropDuplicates(["doc_id", "_text_key"]).unionByName(kept.filter(empty))
+    return kept.select(docs.columns)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import chat, fertility, jaccard, lm, media, mixing, packing, surrogates, toxicity
+from skein.llm import chaining, chat, fertility, jaccard, lm, media, mixing, packing, surrogates, toxicity
 from skein.llm.common import crc_mod_column, table
 
 
@@ -15,6 +15,10 @@ def op1_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
+def op2_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chaining.passages(table(spark, sf_dir, "documents"))
+
+
 def op3_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents"))
 
@@ -24,7 +28,7 @@ def op4_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.components(table(spark, sf_dir, "documents"))
+    return jaccard.components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,5 +76,6 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.features(media.store(table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_deleted_interpolation, op3_temperature_mixing, op4_fertility, op5_jaccard_join, op6_toxicity, op7_packing, op8_surrogates, op9_chat_format, op10_media)}
+OPERATORS = (op1_deleted_interpolation, op2_chaining, op3_temperature_mixing, op4_fertility, op5_jaccard_join, op6_toxicity, op7_packing, op8_surrogates, op9_chat_format, op10_media)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in OPERATORS}
 ORACLE_SQL: dict[str, str] = {"op9_chat_format": OP9_SQL}
