@@ -129,9 +129,12 @@ class _Reader(HTMLParser):
 PARSED = "title string, description string, author string, keywords string, text string, links array<struct<url:string,text:string>>, images array<struct<url:string,alt:string,title:string>>, json_ld array<string>"
 
 
-@pandas_udf(PARSED)
-def parse_page(html: pd.Series, url: pd.Series) -> pd.DataFrame:
+def parse_page(html: str | Column, url: str | Column) -> Column:
     """A page taken apart: metadata, visible text (15,000 characters at most), links and images with absolute URLs."""
+    return pandas_udf(_parsed, PARSED)(html, url)
+
+
+def _parsed(html: pd.Series, url: pd.Series) -> pd.DataFrame:
     rows = []
     for h, u in zip(html, url):
         r = _Reader(u or "")
