@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,16 +18,19 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     """``df`` written to the shared folder as Parquet and read again.
 
-    A lost executor costs no recomputation beyond this point. Shuffle files that
-    nothing refers to any more are given back to the disks.
+    A lost executor costs no recomputation beyond this point. With ``release``
+    the driver looks at once for shuffle files that nothing refers to any more,
+    so that large ones are off the disks before the next stage writes its own.
     """
     spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2 * release):  # the first frees Python's references, the second what those held in the JVM
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
     return spark.read.schema(schema).parquet(path)
