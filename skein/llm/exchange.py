@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import U, parts
+from skein.llm.common import U, input_bytes, parts
 
 ASKED = "bucket long, blk long, keys binary, marks binary"
 
@@ -45,6 +45,20 @@ def expand_keys(data: bytes) -> np.ndarray:
     return np.cumsum(expand(data, U), dtype=U)
 
 
+def key_bits(df: DataFrame) -> int:
+    """Bits enough to tell nearly all keys of ``df`` apart: 14 more than its bytes need.
+
+    For questions whose answer may err on the side of "seen elsewhere", such as
+    which keys are worth a second look or come first in an order.
+    """
+    return min(64, max(1, input_bytes(df)).bit_length() + 14)
+
+
+def narrow(keys: np.ndarray, bits: int) -> np.ndarray:
+    """The keys with all but their first ``bits`` bits set to 0."""
+    return keys & U(((1 << bits) - 1) << (64 - bits))
+
+
 def bucket_bounds(keys: np.ndarray, buckets: int) -> np.ndarray:
     """Where each bucket's keys begin in the sorted ``keys``."""
     edges = np.array([(b << 64) // buckets for b in range(1, buckets)], dtype=U)
