@@ -5,14 +5,17 @@ d <= 0.2. Documents are compared with pivots only, and regions around pivots are
 joined recursively:
 
 * Level 0 has the single shingles as pivots. The nearest such pivot of a document
-  is its rarest shingle in the corpus, and the triangle inequality's window around
-  it holds the shingles up to position n - ceil(0.8 n) + 1 of its rarest-first
-  order: a linked pair shares one of them. Windows over shingles that no other
-  document has need no region at all, which settles nearly every document.
-* Higher levels take documents of the region as pivots. Every member's distance to
-  them is computed exactly; distances within 0.2 are links. A member is at home
-  with its nearest pivot and a guest of each pivot that is at most 0.4 farther, so
-  a linked pair meets where one of them is at home.
+  is its rarest shingle in the corpus, and the triangle inequality's windows around
+  it are prefixes of its rarest-first order: at home in the first n - ceil(8n/9) + 1
+  shingles, a guest of the others up to n - ceil(0.8 n) + 1. Of a linked pair the
+  smaller is at home in a region where the larger is at home or a guest. Windows
+  over shingles that no other document has need no region at all, which settles
+  nearly every document.
+* Then documents are the pivots: the most central member of each region (the one
+  whose shingles are most common), and several of a large one. Every member's
+  distance to them is computed exactly; distances within 0.2 are links. A member of
+  a large region is at home with its nearest pivot and a guest of each pivot that is
+  at most 0.4 farther, so a linked pair meets where one of them is at home.
 * Regions whose members are all connected already are finished; small ones are
   joined in one task, member by member; large ones recur with new pivots. A region
   that windows cannot shrink any more is joined in squares of bounded size.
@@ -37,10 +40,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.common import SLOT, U, Words, cut, mix, shingle_set, text_column
-from skein.llm.exchange import ask_all, asked, each_row, expand, gathered, squeeze
+from skein.llm.exchange import ask_all, asked, each_row, expand, gathered, key_bits, narrow, squeeze
 from skein.operators.graph import connected_components
 
-SETS = "doc_id long, text_key long, n_shingles long, sig binary, shared boolean, members binary, window array<long>"
+SETS = "doc_id long, text_key long, n_shingles long, sig binary, shared boolean, central double, members binary, window array<long>, inner array<boolean>"
 
 
 def needed(n: int | np.ndarray, percent: int) -> int | np.ndarray:
@@ -66,9 +69,11 @@ def _sets(group: pa.Table, words: int) -> tuple[list, list, list[np.ndarray]]:
 def shingle_sets(docs: DataFrame, words: int, percent: int, block_mb: float) -> DataFrame:
     """Each document's set size and signature, and for those that share a shingle in their window, set and window."""
 
+    bits = key_bits(docs)
+
     def ask(group: pa.Table, blk: int, buckets: int) -> pa.Table:
         _, _, sets = _sets(group, words)
-        keys, counts = np.unique(np.concatenate([*sets, np.zeros(0, U)]), return_counts=True)
+        keys, counts = np.unique(narrow(np.concatenate([*sets, np.zeros(0, U)]), bits), return_counts=True)
         return asked(keys, counts.astype(np.uint32), blk, buckets)
 
     def answer(group: pa.Table) -> pa.Table:
@@ -81,19 +86,24 @@ def shingle_sets(docs: DataFrame, words: int, percent: int, block_mb: float) ->
 
     def use(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, text_keys, sets = _sets(left, words)
-        keys = np.unique(np.concatenate([*sets, np.zeros(0, U)]))
+        keys = np.unique(narrow(np.concatenate([*sets, np.zeros(0, U)]), bits))
         order = np.argsort(right.column("bucket").to_numpy())
         seen = np.concatenate([*(expand(right.column("total")[int(i)].as_py(), U) for i in order), np.zeros(0, U)])
         assert len(seen) == len(keys), "answers do not match the questions"
         out = []
         for doc, text_key, own in zip(ids, text_keys, sets):
             n = len(own)
-            often = seen[np.searchsorted(keys, own)]
+            often = seen[np.searchsorted(keys, narrow(own, bits))]
             first = np.lexsort((own, often))[: n - needed(n, percent) + 1] if n else np.zeros(0, np.int64)
-            window = own[first[often[first] > 1]]
-            out.append((doc, text_key, n, _signature(own) if n else None, len(window) > 0, own.tobytes() if len(window) else None, window.view(np.int64).tolist() if len(window) else None))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_(), pa.binary(), pa.list_(pa.int64()))
-        return pa.table({n: pa.array([r[k] for r in out], t) for k, (n, t) in enumerate(zip(("doc_id", "text_key", "n_shingles", "sig", "shared", "members", "window"), kinds))})
+            more = often[first] > 1
+            window = own[first[more]]
+            if not len(window):
+                out.append((doc, text_key, n, _signature(own) if n else None, False, None, None, None, None))
+                continue
+            inner = np.arange(len(first))[more] < n - -(-2 * percent * n // (100 + percent)) + 1
+            out.append((doc, text_key, n, _signature(own), True, float(np.log2(often.astype(float)).mean()), own.tobytes(), window.view(np.int64).tolist(), inner.tolist()))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_(), pa.float64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.bool_()))
+        return pa.table({n: pa.array([r[k] for r in out], t) for k, (n, t) in enumerate(zip(("doc_id", "text_key", "n_shingles", "sig", "shared", "central", "members", "window", "inner"), kinds))})
 
     return ask_all(text_column(docs).withColumn("text_key", F.xxhash64("text")), block_mb, ask, answer, "blk long, bucket long, total binary", use, SETS)
 
@@ -125,93 +135,123 @@ def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "sig binary, pivot binary, both long, n long, m long")
 
 
-def _join_group(percent: int):
-    """Joins one small region: members whose components differ, largest intersections by a product of matrices."""
+def _by_region(group: pa.Table) -> list[np.ndarray]:
+    """Rows of each region of a bucket, members in the order of their signatures."""
+    sig = np.array([x.as_py() for x in group.column("sig")], dtype=object)
+    region = group.column("region").to_numpy()
+    order = np.argsort(sig, kind="stable")
+    order = order[np.argsort(region[order], kind="stable")]
+    return np.split(order, np.flatnonzero(np.diff(region[order])) + 1)
+
+
+def _open_pairs(component: np.ndarray, inner: np.ndarray, n: np.ndarray, side: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of a region may still link two components: sizes, a smaller one at home, sides of a square."""
+    small, large = np.minimum(n[:, None], n[None, :]), np.maximum(n[:, None], n[None, :])
+    home = np.where(n[:, None] < n[None, :], inner[:, None], np.where(n[:, None] > n[None, :], inner[None, :], inner[:, None] | inner[None, :]))
+    return (component[:, None] != component[None, :]) & (100 * small >= percent * large) & home & ((side[:, None] != side[None, :]) | (side[:, None] < 0))
+
+
+def _columns(group: pa.Table, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    of: dict[bytes, int] = {}
+    component = np.array([of.setdefault(group.column("component")[int(i)].as_py(), len(of)) for i in at])
+    return (component, *(group.column(c).to_numpy()[at] for c in ("inner", "n", "side")))
+
+
+def _needed_members(percent: int):
+    """Of each region, the members that some other member may link to another component (no sets yet)."""
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
-        order = np.argsort(np.array([x.as_py() for x in group.column("sig")], dtype=object), kind="stable")
-        sig = [group.column("sig")[int(i)].as_py() for i in order]
-        side = np.array([group.column("side")[int(i)].as_py() for i in order])
-        of = {}
-        parent = [of.setdefault(group.column("component")[int(i)].as_py(), len(of)) for i in order]
-        top = list(range(len(of)))
-
-        def root(c: int) -> int:
-            while top[c] != c:
-                top[c] = top[top[c]]
-                c = top[c]
-            return c
-
-        sets = [np.frombuffer(group.column("members")[int(i)].as_py(), U) for i in order]
-        sizes = np.array([len(s) for s in sets])
-        values, column = np.unique(np.concatenate(sets), return_inverse=True)
-        shared = np.bincount(column) > 1
-        rows = np.repeat(np.arange(len(sets)), sizes)[shared[column]]
-        column = (np.cumsum(shared) - 1)[column[shared[column]]]
-        both = np.zeros((len(sets), len(sets)), dtype=np.float32)
-        width = 4096
-        for start in range(0, int(shared.sum()), width):
-            some = (column >= start) & (column < start + width)
-            part = np.zeros((len(sets), width), dtype=np.float32)
-            part[rows[some], column[some] - start] = 1
-            both += part @ part.T
-        both = both.astype(np.int64)
-        found = (100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)) & ((side[:, None] != side[None, :]) | (side[:, None] < 0))
-        edges = []
-        for i, j in zip(*np.nonzero(np.triu(found, 1))):
-            a, b = root(parent[i]), root(parent[j])
-            if a != b:
-                top[a] = b
-                edges.append((sig[i], sig[j]))
+        keep = [at[_open_pairs(*_columns(group, at), percent).any(1)] for at in _by_region(group)]
+        return group.take(pa.array(np.concatenate([*keep, np.zeros(0, np.int64)])))
+
+    return run
+
+
+def _join_regions(percent: int):
+    """Joins small regions: intersections by a product of matrices, links kept where they join components."""
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        edges: list[tuple[bytes, bytes]] = []
+        for at in _by_region(group):
+            component, inner, n, side = _columns(group, at)
+            sets = [np.frombuffer(group.column("members")[int(i)].as_buffer(), U) for i in at]
+            values, column = np.unique(np.concatenate(sets), return_inverse=True)
+            shared = np.bincount(column) > 1
+            rows = np.repeat(np.arange(len(sets)), n)[shared[column]]
+            column = (np.cumsum(shared) - 1)[column[shared[column]]]
+            both = np.zeros((len(sets), len(sets)), dtype=np.float32)
+            width = 4096
+            for start in range(0, int(shared.sum()), width):
+                some = (column >= start) & (column < start + width)
+                part = np.zeros((len(sets), min(width, int(shared.sum()) - start)), dtype=np.float32)
+                part[rows[some], column[some] - start] = 1
+                both += part @ part.T
+            both = both.astype(np.int64)
+            found = (100 * both >= percent * (n[:, None] + n[None, :] - both)) & _open_pairs(component, inner, n, side, percent)
+            top = list(range(int(component.max()) + 1))
+            for i, j in zip(*np.nonzero(np.triu(found, 1))):
+                a, b = component[i], component[j]
+                while top[a] != a:
+                    a = top[a]
+                while top[b] != b:
+                    b = top[b]
+                if a != b:
+                    top[a] = b
+                    edges.append((group.column("sig")[int(at[i])].as_py(), group.column("sig")[int(at[j])].as_py()))
         return pa.table({"src": pa.array([a for a, _ in edges], pa.binary()), "dst": pa.array([b for _, b in edges], pa.binary())})
 
     return run
 
 
+MEMBER = "region long, sig binary, inner boolean, n long, component binary, side int"
+
+
 def find_links(sets: DataFrame, percent: int, small: int, pivots: int, depth: int) -> DataFrame:
     """Edges (src, dst) between signatures whose components are those of the full link graph.
 
-    ``sets`` has sig, n, members and window, one row per signature.
+    ``sets`` has sig, n, central, members, window and inner, one row per signature.
     """
     spark = sets.sparkSession
     reach = 1 - percent / 100
-    at = sets.select(F.explode("window").alias("region"), "sig")
+    at = sets.select(F.explode(F.arrays_zip("window", "inner")).alias("w"), "sig", "n", "central").select(F.col("w.window").alias("region"), "sig", F.col("w.inner").alias("inner"), "n", "central")
+    members = sets.select("sig", "members")
     edges = spark.createDataFrame([], "src binary, dst binary")
     for level in range(depth + 1):
-        key = F.xxhash64("sig")
-        held = at.groupBy("region").agg(F.count("*").alias("n_at"), F.sum(F.shiftright(key, 8)).alias("s1"), F.bit_xor(key).alias("s2"), *(F.min_by("sig", F.xxhash64("sig", F.lit(level * pivots + j))).alias(f"p{j}") for j in range(pivots)))
-        # of regions with the same members one is enough
-        same = ["n_at", "s1", "s2", *(f"p{j}" for j in range(pivots))]
-        held = cut(held.filter("n_at > 1").groupBy(*same).agg(F.min("region").alias("region")), "jaccard-regions")
-        if not held.limit(1).count():
-            return edges
-        many = F.array(*(F.col(f"p{j}") for j in range(pivots)))
-        chosen = held.select("region", "n_at", F.array_distinct(F.when(F.col("n_at") > small, many).otherwise(F.slice(many, 1, 1))).alias("pivots"))
-        at = cut(at.join(chosen, "region"), "jaccard-members")
+        many = pivots if level else 1
+        key = F.xxhash64("sig", "inner")
+        chosen = [F.max_by("sig", F.struct(F.col("central"), F.col("sig"))), *(F.min_by("sig", F.xxhash64("sig", F.lit(level * pivots + j))) for j in range(1, many))]
+        held = at.groupBy("region").agg(F.count("*").alias("n_at"), F.max("inner").alias("home"), F.sum(F.shiftright(key, 8)).alias("s1"), F.bit_xor(key).alias("s2"), *(c.alias(f"p{j}") for j, c in enumerate(chosen)))
+        # of regions with the same members one is enough; a region where none is at home joins nothing
+        same = ["n_at", "s1", "s2", *(f"p{j}" for j in range(many))]
+        held = held.filter("n_at > 1 and home").groupBy(*same).agg(F.min("region").alias("region"))
+        held = cut(held.select("region", F.array_distinct(F.array(*(F.col(f"p{j}") for j in range(many)))).alias("pivots")), "jaccard-regions")
+        at = cut(at.join(held, "region"), "jaccard-members")
         pairs = at.select("sig", F.explode("pivots").alias("pivot")).filter("sig != pivot").distinct()
         near = cut(_distances(pairs, sets), "jaccard-distances")
         linked = near.filter(F.lit(100) * F.col("both") >= F.lit(percent) * (F.col("n") + F.col("m") - F.col("both")))
         edges = cut(edges.unionByName(linked.select(F.col("sig").alias("src"), F.col("pivot").alias("dst"))), "jaccard-edges")
-        labels = connected_components(edges)
-        # a region is finished when its members other than the pivots are in one component with all others
-        at = at.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
-        open_ = cut(at.groupBy("region").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("region"), "jaccard-open")
-        at = cut(at.join(open_, "region").filter(~F.array_contains("pivots", F.col("sig"))), "jaccard-members")
-        sized = at.groupBy("region").agg(F.count("*").alias("n_left"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("n_left > 1 and lo != hi").select("region", "n_left")
-        at = cut(at.join(cut(sized, "jaccard-sizes"), "region"), "jaccard-members")
-        members = sets.select("sig", "members")
-        few = at.filter(F.col("n_left") <= small).select("region", "sig", "component", F.lit(-1).alias("side")).join(members, "sig")
-        big = at.filter(F.col("n_left") > small)
-        if level == depth:  # what windows do not part: squares of bounded size
-            few = few.unionByName(_squares(big, small).join(members, "sig"))
-        found = few.groupBy("region").applyInArrow(_join_group(percent), "src binary, dst binary")
+        labels = connected_components(edges).withColumnRenamed("node", "sig")
+        # the pivots are done with; so is a region of one component
+        left = cut(at.filter(~F.array_contains("pivots", F.col("sig"))).join(labels, "sig", "left").withColumn("component", F.coalesce("component", "sig")), "jaccard-labelled")
+        sized = left.groupBy("region").agg(F.count("*").alias("n_left"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("inner").alias("home")).filter("lo != hi and home").select("region", "n_left")
+        left = cut(left.join(cut(sized, "jaccard-open"), "region"), "jaccard-open-members")
+        total = left.agg(F.count("*"), F.count_if(F.col("n_left") > small)).first()
+        if not total[0]:
+            return edges
+        big = left.filter(F.col("n_left") > small)
+        few = left.filter(F.col("n_left") <= small).select("region", "sig", "inner", "n", "component", F.lit(-1).alias("side"))
+        if level == depth and total[1]:  # what windows do not part: squares of bounded size
+            few = few.unionByName(_squares(big, small))
+        bucket = F.pmod(F.xxhash64("region"), F.lit(max(64, -(-total[0] // 2048))))
+        few = few.groupBy(bucket).applyInArrow(_needed_members(percent), MEMBER)
+        found = few.join(members, "sig").groupBy(bucket).applyInArrow(_join_regions(percent), "src binary, dst binary")
         edges = cut(edges.unionByName(found), "jaccard-edges")
-        if level == depth or not big.limit(1).count():
+        if level == depth or not total[1]:
             return edges
         far = near.select("sig", "pivot", (1 - F.col("both") / (F.col("n") + F.col("m") - F.col("both"))).alias("d"))
-        reached = big.select("region", "sig", F.explode("pivots").alias("pivot")).join(far, ["sig", "pivot"])
+        reached = big.select("region", "sig", "inner", "n", "central", F.explode("pivots").alias("pivot")).join(far, ["sig", "pivot"])
         home = reached.groupBy("region", "sig").agg(F.min("d").alias("nearest"))
-        at = cut(reached.join(home, ["region", "sig"]).filter(F.col("d") <= F.col("nearest") + 2 * reach + 1e-9).select(F.xxhash64("region", "pivot").alias("region"), "sig"), "jaccard-members")
+        at = cut(reached.join(home, ["region", "sig"]).filter(F.col("d") <= F.col("nearest") + 2 * reach + 1e-9).select(F.xxhash64("region", "pivot").alias("region"), "sig", "inner", "n", "central"), "jaccard-members")
     return edges
 
 
@@ -222,13 +262,13 @@ def _squares(big: DataFrame, small: int) -> DataFrame:
     rows = big.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
     low, high = F.least("mine", "other"), F.greatest("mine", "other")
     side = F.when(F.col("mine") == F.col("other"), F.lit(-1)).otherwise(F.when(F.col("mine") < F.col("other"), F.lit(0)).otherwise(F.lit(1)))
-    return rows.select(F.xxhash64("region", low, high).alias("region"), "sig", "component", side.cast("int").alias("side"))
+    return rows.select(F.xxhash64("region", low, high).alias("region"), "sig", "inner", "n", "component", side.cast("int").alias("side"))
 
 
-def components(docs: DataFrame, words: int = 5, percent: int = 80, small: int = 128, pivots: int = 4, depth: int = 5, block_mb: float = 8.0) -> DataFrame:
+def components(docs: DataFrame, words: int = 5, percent: int = 80, small: int = 512, pivots: int = 4, depth: int = 1, block_mb: float = 8.0) -> DataFrame:
     """``doc_id``, ``text_key`` (a hash of the text), ``n_shingles`` and ``component_id`` of every document."""
-    found = cut(shingle_sets(docs, words, percent, block_mb), "jaccard-sets")
-    sets = cut(found.filter("shared").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("members").alias("members"), F.first("window").alias("window")), "jaccard-classes")
+    found = cut(shingle_sets(docs, words, percent, block_mb), "jaccard-sets", release=True)
+    sets = cut(found.filter("shared").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("central").alias("central"), F.first("members").alias("members"), F.first("window").alias("window"), F.first("inner").alias("inner")), "jaccard-classes")
     labels = connected_components(find_links(sets, percent, small, pivots, depth))
     named = sets.select("sig", "rep").join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     named = cut(named, "jaccard-named")
