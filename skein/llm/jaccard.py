@@ -36,7 +36,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.llm.common import SLOT, U, Words, cut, mix, shingle_set, text_column
@@ -101,7 +101,7 @@ def shingle_sets(docs: DataFrame, words: int, percent: int, block_mb: float) ->
                 out.append((doc, text_key, n, _signature(own) if n else None, False, None, None, None, None))
                 continue
             inner = np.arange(len(first))[more] < n - -(-2 * percent * n // (100 + percent)) + 1
-            out.append((doc, text_key, n, _signature(own), True, float(np.log2(often.astype(float)).mean()), own.tobytes(), window.view(np.int64).tolist(), inner.tolist()))
+            out.append((doc, text_key, n, _signature(own), True, float(np.log2(often.astype(float)).mean()), pack(own), window.view(np.int64).tolist(), inner.tolist()))
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_(), pa.float64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.bool_()))
         return pa.table({n: pa.array([r[k] for r in out], t) for k, (n, t) in enumerate(zip(("doc_id", "text_key", "n_shingles", "sig", "shared", "central", "members", "window", "inner"), kinds))})
 
@@ -121,18 +121,46 @@ def links(both: int, n: int, m: int, percent: int) -> bool:
     return 100 * both >= percent * (n + m - both)
 
 
-def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``pairs`` (sig, pivot) with ``both``, ``n`` and ``m``: intersection and sizes."""
-    left = sets.select("sig", F.col("members").alias("x"))
-    right = sets.select(F.col("sig").alias("pivot"), F.col("members").alias("y"))
+def _distances(pairs: DataFrame, sets: DataFrame, most: int = 256) -> DataFrame:
+    """``pairs`` (sig, pivot) with ``both``, ``n`` and ``m``: intersection and sizes.
+
+    A pivot's pairs are dealt to groups of about ``most``; its own set comes first in
+    each of them and the others are streamed past it, so that a pivot with very many
+    members is no larger task than any other and no set is moved twice for a pair.
+    """
+    counts = cut(pairs.groupBy("pivot").agg(F.ceil(F.count("*") / most).cast("long").alias("salts")), "jaccard-pivots")
+    dealt = pairs.join(counts, "pivot").select("sig", "pivot", F.pmod(F.xxhash64("sig"), F.col("salts")).alias("salt"), F.lit(1).alias("turn"))
+    first = counts.select(F.col("pivot").alias("sig"), "pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("turn"))
+    rows = dealt.unionByName(first).join(sets.select("sig", "members"), "sig")
 
     def run(batches):
+        pivot, own = None, None
         for batch in batches:
-            got = [(np.frombuffer(x.as_py(), U), np.frombuffer(y.as_py(), U)) for x, y in zip(batch.column("x"), batch.column("y"))]
-            yield pa.RecordBatch.from_arrays([batch.column("sig"), batch.column("pivot"), pa.array([common(x, y) for x, y in got], pa.int64()), pa.array([len(x) for x, _ in got], pa.int64()), pa.array([len(y) for _, y in got], pa.int64())], ["sig", "pivot", "both", "n", "m"])
+            out = []
+            for sig, p, turn, x in zip(*(batch.column(c) for c in ("sig", "pivot", "turn", "members"))):
+                x = unpack(x.as_buffer())
+                if turn.as_py() == 0:
+                    pivot, own = p.as_py(), x
+                    continue
+                assert p.as_py() == pivot
+                out.append((sig.as_py(), pivot, common(x, own), len(x), len(own)))
+            kinds = (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], ["sig", "pivot", "both", "n", "m"])
+
+    streamed = rows.repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "turn")
+    return streamed.mapInArrow(run, "sig binary, pivot binary, both long, n long, m long")
+
+
+def pack(members: np.ndarray) -> bytes:
+    """A sorted set, 48 bits a member."""
+    return np.ascontiguousarray(members.view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes()
+
 
-    rows = pairs.join(left, "sig").join(right, "pivot").select("sig", "pivot", "x", "y")
-    return rows.mapInArrow(run, "sig binary, pivot binary, both long, n long, m long")
+def unpack(data) -> np.ndarray:
+    six = np.frombuffer(data, dtype=np.uint8).reshape(-1, 6)
+    out = np.zeros((len(six), 8), dtype=np.uint8)
+    out[:, 2:] = six
+    return out.reshape(-1).view(U)
 
 
 def _by_region(group: pa.Table) -> list[np.ndarray]:
@@ -174,7 +202,7 @@ def _join_regions(percent: int):
         edges: list[tuple[bytes, bytes]] = []
         for at in _by_region(group):
             component, inner, n, side = _columns(group, at)
-            sets = [np.frombuffer(group.column("members")[int(i)].as_buffer(), U) for i in at]
+            sets = [unpack(group.column("members")[int(i)].as_buffer()) for i in at]
             values, column = np.unique(np.concatenate(sets), return_inverse=True)
             shared = np.bincount(column) > 1
             rows = np.repeat(np.arange(len(sets)), n)[shared[column]]
@@ -224,15 +252,18 @@ def find_links(sets: DataFrame, percent: int, small: int, pivots: int, depth: in
         # of regions with the same members one is enough; a region where none is at home joins nothing
         same = ["n_at", "s1", "s2", *(f"p{j}" for j in range(many))]
         held = held.filter("n_at > 1 and home").groupBy(*same).agg(F.min("region").alias("region"))
-        held = cut(held.select("region", F.array_distinct(F.array(*(F.col(f"p{j}") for j in range(many)))).alias("pivots")), "jaccard-regions")
+        held = cut(held.select("region", "n_at", F.array_distinct(F.array(*(F.col(f"p{j}") for j in range(many)))).alias("pivots")), "jaccard-regions")
         at = cut(at.join(held, "region"), "jaccard-members")
-        pairs = at.select("sig", F.explode("pivots").alias("pivot")).filter("sig != pivot").distinct()
+        each = at.select("sig", "n_at", F.explode("pivots").alias("pivot")).filter("sig != pivot").groupBy("sig", "pivot").agg(F.count("*").alias("met"), F.max("n_at").alias("n_at"))
+        ranked = each.withColumn("place", F.row_number().over(Window.partitionBy("sig").orderBy(F.desc("met"), "pivot")))
+        # two pivots are enough to find most links early; large regions need every distance for their windows
+        pairs = ranked.filter((F.col("place") <= 2) | (F.col("n_at") > small)).select("sig", "pivot")
         near = cut(_distances(pairs, sets), "jaccard-distances")
         linked = near.filter(F.lit(100) * F.col("both") >= F.lit(percent) * (F.col("n") + F.col("m") - F.col("both")))
         edges = cut(edges.unionByName(linked.select(F.col("sig").alias("src"), F.col("pivot").alias("dst"))), "jaccard-edges")
         labels = connected_components(edges).withColumnRenamed("node", "sig")
-        # the pivots are done with; so is a region of one component
-        left = cut(at.filter(~F.array_contains("pivots", F.col("sig"))).join(labels, "sig", "left").withColumn("component", F.coalesce("component", "sig")), "jaccard-labelled")
+        # a region of one component is done with
+        left = cut(at.join(labels, "sig", "left").withColumn("component", F.coalesce("component", "sig")), "jaccard-labelled")
         sized = left.groupBy("region").agg(F.count("*").alias("n_left"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("inner").alias("home")).filter("lo != hi and home").select("region", "n_left")
         left = cut(left.join(cut(sized, "jaccard-open"), "region"), "jaccard-open-members")
         total = left.agg(F.count("*"), F.count_if(F.col("n_left") > small)).first()
