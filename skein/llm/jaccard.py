@@ -144,11 +144,11 @@ def _distances(pairs: DataFrame, sets: DataFrame, most: int = 256) -> DataFrame:
                     continue
                 assert p.as_py() == pivot
                 out.append((sig.as_py(), pivot, common(x, own), len(x), len(own)))
-            kinds = (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+            kinds = (pa.int64(),) * 5
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], ["sig", "pivot", "both", "n", "m"])
 
     streamed = rows.repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "turn")
-    return streamed.mapInArrow(run, "sig binary, pivot binary, both long, n long, m long")
+    return streamed.mapInArrow(run, "sig long, pivot long, both long, n long, m long")
 
 
 def pack(members: np.ndarray) -> bytes:
@@ -164,11 +164,9 @@ def unpack(data) -> np.ndarray:
 
 
 def _by_region(group: pa.Table) -> list[np.ndarray]:
-    """Rows of each region of a bucket, members in the order of their signatures."""
-    sig = np.array([x.as_py() for x in group.column("sig")], dtype=object)
+    """Rows of each region of a bucket, members in order."""
     region = group.column("region").to_numpy()
-    order = np.argsort(sig, kind="stable")
-    order = order[np.argsort(region[order], kind="stable")]
+    order = np.lexsort((group.column("sig").to_numpy(), region))
     return np.split(order, np.flatnonzero(np.diff(region[order])) + 1)
 
 
@@ -180,17 +178,33 @@ def _open_pairs(component: np.ndarray, inner: np.ndarray, n: np.ndarray, side: n
 
 
 def _columns(group: pa.Table, at: np.ndarray) -> tuple[np.ndarray, ...]:
-    of: dict[bytes, int] = {}
-    component = np.array([of.setdefault(group.column("component")[int(i)].as_py(), len(of)) for i in at])
+    component = np.unique(group.column("component").to_numpy()[at], return_inverse=True)[1]
     return (component, *(group.column(c).to_numpy()[at] for c in ("inner", "n", "side")))
 
 
-def _needed_members(percent: int):
-    """Of each region, the members that some other member may link to another component (no sets yet)."""
+def _needed(percent: int):
+    """What is left to do in each region, from sizes and components alone (no sets yet).
+
+    A region with few open pairs for its members gives those pairs; of another the
+    members that are in one come back, to be joined together.
+    """
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
-        keep = [at[_open_pairs(*_columns(group, at), percent).any(1)] for at in _by_region(group)]
-        return group.take(pa.array(np.concatenate([*keep, np.zeros(0, np.int64)])))
+        sig = group.column("sig").to_numpy()
+        whole, left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for at in _by_region(group):
+            pairs = np.triu(_open_pairs(*_columns(group, at), percent), 1)
+            members = at[pairs.any(0) | pairs.any(1)]
+            if pairs.sum() > 2 * len(members):
+                whole.append(members)
+            else:
+                i, j = np.nonzero(pairs)
+                left.append(at[i])
+                right.append(at[j])
+        a, b = np.concatenate(left), np.concatenate(right)
+        out = group.take(pa.array(np.concatenate([*whole, a])))
+        partner = np.concatenate([np.full(out.num_rows - len(a), -1), sig[b]])
+        return out.append_column("partner", pa.array(partner, pa.int64()))
 
     return run
 
@@ -199,7 +213,7 @@ def _join_regions(percent: int):
     """Joins small regions: intersections by a product of matrices, links kept where they join components."""
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
-        edges: list[tuple[bytes, bytes]] = []
+        edges: list[tuple[int, int]] = []
         for at in _by_region(group):
             component, inner, n, side = _columns(group, at)
             sets = [unpack(group.column("members")[int(i)].as_buffer()) for i in at]
@@ -226,31 +240,31 @@ def _join_regions(percent: int):
                 if a != b:
                     top[a] = b
                     edges.append((group.column("sig")[int(at[i])].as_py(), group.column("sig")[int(at[j])].as_py()))
-        return pa.table({"src": pa.array([a for a, _ in edges], pa.binary()), "dst": pa.array([b for _, b in edges], pa.binary())})
+        return pa.table({"src": pa.array([a for a, _ in edges], pa.int64()), "dst": pa.array([b for _, b in edges], pa.int64())})
 
     return run
 
 
-MEMBER = "region long, sig binary, inner boolean, n long, component binary, side int"
+MEMBER = "region long, sig long, inner boolean, n long, component long, side int"
 
 
 def find_links(sets: DataFrame, percent: int, small: int, pivots: int, depth: int) -> DataFrame:
-    """Edges (src, dst) between signatures whose components are those of the full link graph.
+    """Edges (src, dst) between sets whose components are those of the full link graph.
 
-    ``sets`` has sig, n, central, members, window and inner, one row per signature.
+    ``sets`` has sig (here a number), n, central, members, window and inner, one row per set.
     """
     spark = sets.sparkSession
     reach = 1 - percent / 100
     at = sets.select(F.explode(F.arrays_zip("window", "inner")).alias("w"), "sig", "n", "central").select(F.col("w.window").alias("region"), "sig", F.col("w.inner").alias("inner"), "n", "central")
     members = sets.select("sig", "members")
-    edges = spark.createDataFrame([], "src binary, dst binary")
+    edges = spark.createDataFrame([], "src long, dst long")
     for level in range(depth + 1):
         many = pivots if level else 1
         key = F.xxhash64("sig", "inner")
         chosen = [F.max_by("sig", F.struct(F.col("central"), F.col("sig"))), *(F.min_by("sig", F.xxhash64("sig", F.lit(level * pivots + j))) for j in range(1, many))]
-        held = at.groupBy("region").agg(F.count("*").alias("n_at"), F.max("inner").alias("home"), F.sum(F.shiftright(key, 8)).alias("s1"), F.bit_xor(key).alias("s2"), *(c.alias(f"p{j}") for j, c in enumerate(chosen)))
+        held = at.groupBy("region").agg(F.count("*").alias("n_at"), F.max("inner").alias("home"), F.bit_xor(key).alias("same"), *(c.alias(f"p{j}") for j, c in enumerate(chosen)))
         # of regions with the same members one is enough; a region where none is at home joins nothing
-        same = ["n_at", "s1", "s2", *(f"p{j}" for j in range(many))]
+        same = ["n_at", "same", *(f"p{j}" for j in range(many))]
         held = held.filter("n_at > 1 and home").groupBy(*same).agg(F.min("region").alias("region"))
         held = cut(held.select("region", "n_at", F.array_distinct(F.array(*(F.col(f"p{j}") for j in range(many)))).alias("pivots")), "jaccard-regions")
         at = cut(at.join(held, "region"), "jaccard-members")
@@ -274,9 +288,11 @@ def find_links(sets: DataFrame, percent: int, small: int, pivots: int, depth: in
         if level == depth and total[1]:  # what windows do not part: squares of bounded size
             few = few.unionByName(_squares(big, small))
         bucket = F.pmod(F.xxhash64("region"), F.lit(max(64, -(-total[0] // 2048))))
-        few = few.groupBy(bucket).applyInArrow(_needed_members(percent), MEMBER)
-        found = few.join(members, "sig").groupBy(bucket).applyInArrow(_join_regions(percent), "src binary, dst binary")
-        edges = cut(edges.unionByName(found), "jaccard-edges")
+        todo = cut(few.groupBy(bucket).applyInArrow(_needed(percent), MEMBER + ", partner long"), "jaccard-todo")
+        found = todo.filter("partner < 0").drop("partner").join(members, "sig").groupBy(bucket).applyInArrow(_join_regions(percent), "src long, dst long")
+        pairs = todo.filter("partner >= 0").select(F.greatest("sig", "partner").alias("sig"), F.least("sig", "partner").alias("pivot")).distinct()
+        met = _distances(pairs, sets).filter(F.lit(100) * F.col("both") >= F.lit(percent) * (F.col("n") + F.col("m") - F.col("both")))
+        edges = cut(edges.unionByName(found).unionByName(met.select(F.col("sig").alias("src"), F.col("pivot").alias("dst"))), "jaccard-edges")
         if level == depth or not total[1]:
             return edges
         far = near.select("sig", "pivot", (1 - F.col("both") / (F.col("n") + F.col("m") - F.col("both"))).alias("d"))
@@ -299,9 +315,11 @@ def _squares(big: DataFrame, small: int) -> DataFrame:
 def components(docs: DataFrame, words: int = 5, percent: int = 80, small: int = 512, pivots: int = 4, depth: int = 1, block_mb: float = 8.0) -> DataFrame:
     """``doc_id``, ``text_key`` (a hash of the text), ``n_shingles`` and ``component_id`` of every document."""
     found = cut(shingle_sets(docs, words, percent, block_mb), "jaccard-sets", release=True)
-    sets = cut(found.filter("shared").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("central").alias("central"), F.first("members").alias("members"), F.first("window").alias("window"), F.first("inner").alias("inner")), "jaccard-classes")
+    classes = found.filter("shared").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("central").alias("central"), F.first("members").alias("members"), F.first("window").alias("window"), F.first("inner").alias("inner"))
+    classes = cut(classes.withColumn("node", F.monotonically_increasing_id()), "jaccard-classes")  # written once, so the numbers stay
+    sets = classes.select(F.col("node").alias("sig"), "n", F.round(F.col("central") * 100).cast("int").alias("central"), "members", "window", "inner")
     labels = connected_components(find_links(sets, percent, small, pivots, depth))
-    named = sets.select("sig", "rep").join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+    named = classes.select("sig", "rep", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = cut(named, "jaccard-named")
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = cut(named.join(least, "component").select("sig", "component_id"), "jaccard-names")
