@@ -124,15 +124,41 @@ def expected_fields(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "entity_type string, priority string, field string")
 
 
+#: Specialised kinds by substrings of name or context, in order, for each parent kind (fixed values).
+SPECIAL = {
+    "location": (("headquarters", ("headquarter", "hq", "head office", "main office", "corporate office")), ("branch_office", ("branch", "regional office", "local office")), ("registered_address", ("registered", "legal address"))),
+    "person": (("ceo", ("ceo", "chief executive")), ("founder", ("founder", "co-founder", "founded by")), ("executive", ("cfo", "cto", "coo", "president", "vice president", "vp", "director")), ("board_member", ("board member", "board of directors", "chairman"))),
+    "company": (("subsidiary", ("subsidiary", "acquired", "owned by")), ("division", ("division", "unit", "segment")), ("department", ("department", "dept"))),
+}
+
+
+def special_kind(parent: str, name: Column, context: Column | None = None) -> Column:
+    """A more special kind of ``parent`` that name or context speaks of, else null."""
+    t = F.lower(F.concat_ws(" | ", name, *([context] if context is not None else [])))
+    out = F.when(F.lit(False), "")
+    for kind, parts in SPECIAL[parent]:
+        out = out.when(_any(t, parts), kind)
+    return out
+
+
+#: A person's kind by substrings of title and role, in order (fixed values).
+PERSON = (("ceo", ("ceo", "chief executive officer")), ("founder", ("founder", "co-founder")), ("executive", ("cfo", "chief financial", "cto", "chief technology", "chief technical", "coo", "chief operating", "president", "vp", "vice president", "director")), ("board_member", ("board", "chairman", "chairwoman", "chair")))
+#: A location's kind by substrings: of type, label and context; of type and label; of type only (fixed values).
+PLACE = (("headquarters", 3, ("headquarter", "hq", "head office", "main office", "corporate office", "global office")), ("branch_office", 2, ("branch", "regional office")), ("registered_address", 1, ("registered", "legal", "statutory")), ("office", 2, ("office", "facility")))
+
+
 def person_kind(text: Column) -> Column:
-    """A person's kind from title and context, by substrings in order of rank."""
     t = F.lower(F.coalesce(text, F.lit("")))
-    return F.when(_any(t, ("ceo", "chief executive")), "ceo").when(_any(t, ("founder", "co-founder")), "founder").when(_any(t, ("board member", "board of directors", "director")), "board_member").when(_any(t, ("executive", "president", "vp", "vice president", "cto", "cfo", "coo", "chief")), "executive").when(_any(t, ("employee", "staff", "engineer", "manager")), "employee").otherwise("person")
+    return reduce(lambda acc, x: acc.when(_any(t, x[1]), x[0]), PERSON, F.when(F.lit(False), "")).otherwise("person")
 
 
-def location_kind(text: Column) -> Column:
-    t = F.lower(F.coalesce(text, F.lit("")))
-    return F.when(_any(t, ("headquarter", "hq", "head office", "main office")), "headquarters").when(t.contains("branch"), "branch_office").when(t.contains("registered"), "registered_address").when(t.contains("mailing"), "mailing_address").when(t.contains("billing"), "billing_address").when(t.contains("shipping"), "shipping_address").when(t.contains("office"), "office").otherwise("location")
+def location_kind(kind: Column, label: Column | None = None, context: Column | None = None) -> Column:
+    none = F.lit("")
+    places = [F.lower(F.coalesce(c, none)) if c is not None else none for c in (kind, label, context)]
+    out = F.when(F.lit(False), "")
+    for name, reach, parts in PLACE:
+        out = out.when(reduce(lambda a, b: a | b, [_any(c, parts) for c in places[:reach]]), name)
+    return out.otherwise("location")
 
 
 def child_color(parent: str, index: int) -> str:
