@@ -102,3 +102,16 @@ def contradictions(facts: DataFrame, key: str, field: str, value: str) -> DataFr
     """Fields for which one entity has several different values."""
     v = F.lower(F.trim(F.col(value)))
     return facts.groupBy(key, field).agg(F.count_distinct(v).alias("n_values"), F.min(v).alias("first_value"), F.max(v).alias("last_value")).filter("n_values > 1")
+
+
+#: The categories of a crawl mode's completeness and the fields of each (fixed values of this library).
+MODE_CATEGORIES = {"basic": ("official_name", "name", "description"), "persons": ("persons", "ceo", "leadership"), "locations": ("location", "headquarters", "address"), "financials": ("revenue", "financials"), "products": ("products",), "events": ("events",), "relationships": ("relationships",), "contact": ("website", "email", "phone"), "identity": ("ticker", "founded", "industry")}
+
+
+def category_completeness(entities: DataFrame, key: str, data: str) -> DataFrame:
+    """Share of the nine categories in which an entity has something, and those in which it has nothing."""
+    have = F.map_keys(F.map_filter(data, lambda k, v: is_truthy(v)))
+    filled = {c: F.arrays_overlap(F.transform(have, F.lower), F.array(*map(F.lit, f))) for c, f in MODE_CATEGORIES.items()}
+    share = sum((F.coalesce(c, F.lit(False)).cast("int") for c in filled.values()), F.lit(0)) / len(filled)
+    missing = F.array_compact(F.array(*(F.when(~F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in filled.items())))
+    return entities.select(key, F.round(share, 6).alias("completeness"), missing.alias("missing"))

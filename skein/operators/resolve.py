@@ -109,3 +109,47 @@ def field_values(values: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 def compare_names(a: Column, b: Column) -> Column:
     return jaccard(words(a), words(b))
+
+
+def dedup_scan(entities: DataFrame, key: str, name: str, kind: str, created: str, least: float = 0.85, dry_run: bool = True) -> DataFrame:
+    """Greedy grouping in order of creation inside blocks of names that share a word.
+
+    The first entity of a group takes all later ones of its kind that are alike enough;
+    pairs come from an inverted index, and a member belongs to the earliest entity
+    that is not itself taken. Each block's walk is over its candidate pairs only.
+    """
+    from skein.functions.text import name_similarity
+    from skein.operators.graph import connected_components
+    from skein.sources.storage import cut
+
+    rows = entities.select(F.col(key).alias("id"), F.col(name).alias("name"), K.normalized_kind(F.col(kind)).alias("kind"), F.col(created).alias("at"))
+    w = rows.select("*", F.explode(words("name")).alias("w"))
+    other = w.select(F.col("id").alias("id2"), F.col("name").alias("name2"), "kind", F.col("at").alias("at2"), "w")
+    later = (F.col("at") < F.col("at2")) | ((F.col("at") == F.col("at2")) & (F.col("id") < F.col("id2")))
+    pairs = w.join(other, ["w", "kind"]).filter(later).select("id", "name", "at", "id2", "name2", "at2").distinct()
+    pairs = cut(pairs.withColumn("similarity", F.round(name_similarity("name", "name2"), 6)).filter(F.col("similarity") >= least), "dedup-pairs")
+    block = connected_components(pairs, "id", "id2").select(F.col("node").alias("id"), F.col("component").alias("block"))
+
+    def walk(group):
+        taken, out = set(), []
+        for r in group.sort_values(["at", "id", "at2", "id2"]).itertuples():
+            if r.id in taken or r.id2 in taken:
+                continue
+            taken.add(r.id2)
+            out.append((r.id, r.id2, r.similarity))
+        import pandas as pd
+
+        return pd.DataFrame(out, columns=["canonical_id", "duplicate_id", "similarity"])
+
+    kind_of = dict(pairs.dtypes)["id"]
+    found = pairs.join(block, "id").groupBy("block").applyInPandas(walk, f"canonical_id {kind_of}, duplicate_id {kind_of}, similarity double")
+    return found if dry_run else found.select(F.col("duplicate_id").alias("old_id"), F.col("canonical_id").alias("new_id"))
+
+
+def containing_names(names: DataFrame, entities: DataFrame, query: str, key: str, name: str) -> DataFrame:
+    """Entities whose name contains a queried one, or lies inside it: similarity 1 or .85."""
+    from skein.functions.text import name_similarity
+
+    q = names.select(query, F.explode(words(query)).alias("w"))
+    e = entities.select(key, name, F.explode(words(name)).alias("w"))
+    return q.join(e, "w").select(query, key, name).distinct().withColumn("similarity", name_similarity(query, name)).filter("similarity >= 0.85")
