@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from skein.functions.text import col, sentences
+from skein.functions.text import col, let, sentences
 
 
 def main_content(text: str | Column, kind: Column) -> Column:
     """Articles lose a tenth of their sentences at each end, listings keep 20, forums 5; others are whole."""
-    s = sentences(text)
-    n, skip = F.size(s), F.floor(F.size(s) / 10).cast("int")
-    article = F.when(n > 10, F.array_join(F.slice(s, skip + 1, n - 2 * skip), " ")).otherwise(col(text))
-    first = lambda most: F.when(n > most, F.array_join(F.slice(s, 1, most), " ")).otherwise(col(text))
-    return F.when(kind == "article", article).when(kind == "listing", first(20)).when(kind == "forum", first(5)).otherwise(col(text))
+
+    def article(s: Column) -> Column:
+        n, skip = F.size(s), F.floor(F.size(s) / 10).cast("int")
+        return F.when(n > 10, F.array_join(F.slice(s, skip + 1, n - 2 * skip), " ")).otherwise(col(text))
+
+    first = lambda most: let(sentences(text), lambda s: F.when(F.size(s) > most, F.array_join(F.slice(s, 1, most), " ")).otherwise(col(text)))
+    return F.when(kind == "article", let(sentences(text), article)).when(kind == "listing", first(20)).when(kind == "forum", first(5)).otherwise(col(text))
 
 
 def flags(kind: Column) -> Column:

@@ -25,6 +25,11 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, f) -> Column:
+    """``f`` of a value that is worked out once, however often ``f`` uses it, inside lambdas too."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 # ---------------------------------------------------------------- names and ids
 def uuid5(name: str | Column, namespace: str = "6ba7b8119dad11d180b400c04fd430c8") -> Column:
     """Version 5 UUID of a name under a namespace (by default that of URLs), as text."""
@@ -101,8 +106,13 @@ def sentences(c: str | Column) -> Column:
 
 def windows(items: Column, size: int = 5, stride: int = 2, least: int = 2) -> Column:
     """Runs of ``size`` items every ``stride``, joined by blanks; those under ``least`` are dropped."""
-    starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(items) - 1, F.lit(0))), lambda i: (i % stride == 0) & (F.size(items) - i >= least))
-    return F.transform(starts, lambda i: F.array_join(F.slice(items, i + 1, F.lit(size)), " "))
+
+    def made(s: Column) -> Column:
+        last = F.size(s) - least
+        starts = F.when(last >= 0, F.sequence(F.lit(0), last, F.lit(stride))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(s, i + 1, F.lit(size)), " "))
+
+    return let(items, made)
 
 
 def fixed_chunks(c: str | Column, size: int, most: int) -> Column:
@@ -127,9 +137,8 @@ def overlap_chunks(c: str | Column, size: int = 1500, overlap: int = 200) -> Col
 def pretrim(items: Column, name: str) -> Column:
     """Sentences up to the second one in a row without ``name``."""
     step = lambda s, x: F.struct((F.when(x.contains(name), F.lit(0)).otherwise(s["miss"] + 1)).alias("miss"), (s["stop"] | ((s["miss"] >= 1) & ~x.contains(name))).alias("stop"), F.when(s["stop"] | ((s["miss"] >= 1) & ~x.contains(name)), s["kept"]).otherwise(s["kept"] + 1).alias("kept"))
-    lower = F.transform(items, F.lower)
     start = F.struct(F.lit(0).alias("miss"), F.lit(False).alias("stop"), F.lit(0).alias("kept"))
-    return F.slice(items, F.lit(1), F.aggregate(lower, start, step, lambda s: s["kept"]))
+    return let(items, lambda all_: F.slice(all_, F.lit(1), F.aggregate(F.transform(all_, F.lower), start, step, lambda s: s["kept"])))
 
 
 def is_heading(c: str | Column) -> Column:

@@ -5,11 +5,11 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from skein.functions.text import sentences
+from skein.functions.text import let, sentences
 
 
 def snippets(df: DataFrame, key: str, text: str, size: int = 3, context: int = 80) -> DataFrame:
@@ -17,13 +17,16 @@ def snippets(df: DataFrame, key: str, text: str, size: int = 3, context: int = 8
 
     The groups of one row are made inside the row, so there is no shuffle.
     """
-    s = sentences(text)
-    n = F.ceil(F.size("_s") / size).cast("int")
-    groups = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array_join(F.slice("_s", i * size + 1, F.lit(size)), " "))).otherwise(F.array().cast("array<string>"))
-    rows = df.select(key, s.alias("_s")).select(key, groups.alias("_g"))
-    at = F.coalesce(F.get("_g", F.col("_i") - 1), F.lit("")), F.coalesce(F.get("_g", F.col("_i") + 1), F.lit(""))
-    exploded = rows.select(key, "_g", F.posexplode("_g").alias("_i", "snippet"))
-    return exploded.select(key, F.col("_i").cast("long").alias("chunk_index"), "snippet", F.substring(F.when(F.col("_i") > 0, at[0]).otherwise(""), 1, context).alias("prev_context"), F.substring(at[1], 1, context).alias("next_context"))
+
+    def groups(s: Column) -> Column:
+        n = F.ceil(F.size(s) / size).cast("int")
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array_join(F.slice(s, i * size + 1, F.lit(size)), " "))).otherwise(F.array().cast("array<string>"))
+
+    def with_context(g: Column) -> Column:
+        begin = lambda i: F.substring(F.coalesce(F.get(g, i), F.lit("")), 1, context)
+        return F.transform(g, lambda x, i: F.struct(i.cast("long").alias("chunk_index"), x.alias("snippet"), F.when(i > 0, begin(i - 1)).otherwise("").alias("prev_context"), begin(i + 1).alias("next_context")))
+
+    return df.select(key, F.explode(let(let(sentences(text), groups), with_context)).alias("_x")).select(key, "_x.*")
 
 
 def neighbours(rows: DataFrame, key: str, index: str, text: str, reach: int) -> DataFrame:

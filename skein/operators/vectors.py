@@ -72,9 +72,10 @@ def _block_top(points: DataFrame, key: str, vector: str, ids: list, q: np.ndarra
 
 def similar_pairs(points: DataFrame, key: str, vector: str, block: Column, least: float, digits: int = 6) -> DataFrame:
     """Pairs of a block whose cosine is ``least`` or more."""
-    rows = points.select(F.col(key).alias("a"), F.col(vector).alias("va"), block.alias("_b"))
-    other = rows.select(F.col("a").alias("b"), F.col("va").alias("vb"), "_b")
-    return rows.join(other, "_b").filter("a < b").select("a", "b", F.round(cosine("va", "vb"), digits).alias("similarity")).filter(F.col("similarity") >= least)
+    rows = points.select(F.col(key).alias("a"), F.transform(vector, lambda x: x.cast("double")).alias("va"), norm(vector).alias("na"), block.alias("_b")).filter("na > 0")
+    other = rows.select(F.col("a").alias("b"), F.col("va").alias("vb"), F.col("na").alias("nb"), "_b")
+    product = F.aggregate(F.zip_with("va", "vb", lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
+    return rows.join(other, "_b").filter("a < b").select("a", "b", F.round(product / (F.col("na") * F.col("nb")), digits).alias("similarity")).filter(F.col("similarity") >= least)
 
 
 def hashing_embedder(dimensions: int = 64):
