@@ -236,3 +236,20 @@ def mentions(c: str | Column) -> Column:
     stop = F.array(*map(F.lit, ("What", "Who", "Where", "When", "Why", "How", "The", "Is", "Are")))
     found = F.regexp_extract_all(col(c), F.lit(r"\b([A-Z][a-zA-Z]*(?:\s+[A-Z][a-zA-Z]*)*)\b"), F.lit(1))
     return F.array_distinct(F.filter(found, lambda x: (F.length(x) > 2) & ~F.array_contains(stop, x)))
+
+
+# ---------------------------------------------------------------- coercion
+def safe_float(c: str | Column) -> Column:
+    """A number from text, or null; bytes are taken as text, blanks around it do not matter."""
+    return F.trim(col(c).cast("string")).try_cast("double")
+
+
+def safe_int(c: str | Column) -> Column:
+    """The whole part of a number from text, or null."""
+    return F.trim(col(c).cast("string")).try_cast("double").try_cast("long")
+
+
+def any_key_contains(m: str | Column, word: str) -> Column:
+    """Whether a key of a map, or a value, contains ``word`` in any case."""
+    w = word.lower()
+    return F.coalesce(F.exists(F.map_entries(col(m)), lambda e: F.lower(e["key"]).contains(w) | F.lower(e["value"]).contains(w)), F.lit(False))

@@ -110,3 +110,30 @@ def undirected(edges: DataFrame, src: str, dst: str, weight: Column) -> DataFram
 def first_of(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+
+
+def set_confidence(edges: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """New confidences by edge id; those outside [0, 1] are refused and the old ones stay."""
+    new = wanted.filter((F.col("confidence") >= 0) & (F.col("confidence") <= 1)).select(key, F.col("confidence").alias("_c"))
+    return edges.join(new, key, "left").withColumn("confidence", F.coalesce("_c", "confidence")).drop("_c")
+
+
+def edges_of(edges: DataFrame, node, src: str, dst: str, key: str) -> DataFrame:
+    """All edges at a node, each once."""
+    return edges.filter((F.col(src) == F.lit(node)) | (F.col(dst) == F.lit(node))).dropDuplicates([key])
+
+
+def merge_metadata(old: Column, new: Column) -> Column:
+    """Two maps as one, new values over old ones."""
+    return F.map_concat(F.map_filter(old, lambda k, v: ~F.array_contains(F.map_keys(new), k)), new)
+
+
+def delete_nodes(nodes: DataFrame, gone: DataFrame, key: str, children: dict[str, tuple[DataFrame, list[str]]]) -> dict[str, DataFrame]:
+    """Tables after a deletion and its cascades: child rows that refer to a deleted node by any column go."""
+    ids = gone.select(F.col(key).alias("_gone")).distinct()
+    out = {"nodes": nodes.join(ids, F.col(key) == F.col("_gone"), "left_anti")}
+    for name, (rows, columns) in children.items():
+        for c in columns:
+            rows = rows.join(ids, F.col(c) == F.col("_gone"), "left_anti")
+        out[name] = rows
+    return out

@@ -178,3 +178,62 @@ def uncached_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     now = F.lit("2024-06-01 00:00:00").cast("timestamp")
     cache = c.filter("conv_id % 3 = 0").select(F.sha2("text", 256).alias("prompt_hash"), F.lit("2024-05-30 00:00:00").cast("timestamp").alias("created_at"))
     return P.uncached(c, cache, "text", now).agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id, try_cast(trim(v) AS DOUBLE) AS as_float, CASE WHEN event_id % 3 = 1 THEN trunc(try_cast(trim(v) AS DOUBLE))::BIGINT WHEN event_id % 3 = 0 THEN event_id END AS as_int FROM (SELECT event_id, CASE event_id % 3 WHEN 0 THEN ' ' || event_id || ' ' WHEN 1 THEN event_id || '.75' ELSE event_type END AS v FROM events)")
+def safe_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skein.functions.text import safe_float, safe_int
+
+    k = F.col("event_id") % 3
+    v = F.when(k == 0, F.concat(F.lit(" "), "event_id", F.lit(" "))).when(k == 1, F.concat("event_id", F.lit(".75"))).otherwise(F.col("event_type"))
+    return t(spark, sf_dir, "events").select("event_id", safe_float(v).alias("as_float"), safe_int(v).alias("as_int"))
+
+
+@query("SELECT c_custkey FROM customer WHERE contains(lower(c_mktsegment), 'auto') OR contains(lower(c_name), 'auto')")
+def memory_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skein.functions.text import any_key_contains
+
+    m = F.create_map(F.lit("segment"), F.col("c_mktsegment"), F.lit("name"), F.col("c_name"))
+    return t(spark, sf_dir, "customer").filter(any_key_contains(m, "AUTO")).select("c_custkey")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 0.9 ELSE 0.5 END::DOUBLE AS confidence FROM orders")
+def set_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = t(spark, sf_dir, "orders").select("o_orderkey", F.lit(0.5).alias("confidence"))
+    wanted = o.select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, 0.9).otherwise(1.5).alias("confidence")).filter("o_orderkey % 3 < 2")
+    return E.set_confidence(o, wanted, "o_orderkey")
+
+
+@query(f"SELECT src AS source_id, dst AS target_id FROM {FK_SQL} WHERE src = 'n3' OR dst = 'n3'")
+def edges_of_node(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = links(spark, sf_dir).withColumn("id", F.concat_ws("|", "source_id", "target_id"))
+    return E.edges_of(e, "n3", "source_id", "target_id", "id").select("source_id", "target_id")
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'new' ELSE 'old' END AS a, 'kept' AS b FROM customer")
+def metadata_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = F.create_map(F.lit("a"), F.lit("old"), F.lit("b"), F.lit("kept"))
+    new = F.when(F.col("c_custkey") % 2 == 0, F.create_map(F.lit("a"), F.lit("new"))).otherwise(F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
+    return t(spark, sf_dir, "customer").select("c_custkey", E.merge_metadata(old, new).alias("m")).select("c_custkey", F.col("m")["a"].alias("a"), F.col("m")["b"].alias("b"))
+
+
+@query("SELECT 'nodes' AS part, count(*) AS n FROM customer WHERE c_custkey % 10 > 0 UNION ALL SELECT 'orders', count(*) FROM orders WHERE o_custkey % 10 > 0")
+def delete_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = t(spark, sf_dir, "customer")
+    out = E.delete_nodes(c, c.filter("c_custkey % 10 = 0"), "c_custkey", {"orders": (t(spark, sf_dir, "orders"), ["o_custkey"])})
+    return out["nodes"].agg(F.lit("nodes").alias("part"), F.count("*").alias("n")).unionByName(out["orders"].agg(F.lit("orders").alias("part"), F.count("*").alias("n")))
+
+
+@query("SELECT media_id, media_type, state, total FROM (SELECT event_id AS media_id, event_type AS media_type, CASE WHEN value > 90 THEN 'error' WHEN value > 40 THEN 'processed' ELSE 'pending' END AS state, count(*) OVER () AS total, ts FROM events WHERE event_type = 'view' AND value > 40 AND value <= 90) ORDER BY ts DESC, media_id LIMIT 25 OFFSET 5")
+def media_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = t(spark, sf_dir, "events").filter("event_type = 'view'")
+    state = F.when(F.col("value") > 90, "error").when(F.col("value") > 40, "processed").otherwise("pending")
+    rows = e.select(F.col("event_id").alias("media_id"), F.col("event_type").alias("media_type"), state.alias("state"), "ts").filter("state = 'processed'")
+    total = rows.agg(F.count("*").alias("total"))
+    return rows.orderBy(F.desc("ts"), "media_id").offset(5).limit(25).crossJoin(F.broadcast(total)).select("media_id", "media_type", "state", "total")  # the total is one row
+
+
+@query("SELECT conv_id AS plan_id, role AS key, text AS value FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn DESC) AS r FROM conversations) WHERE r = 1")
+def planner_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = t(spark, sf_dir, "conversations")
+    return c.groupBy(F.col("conv_id").alias("plan_id"), F.col("role").alias("key")).agg(F.max_by("text", "turn").alias("value"))
