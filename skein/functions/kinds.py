@@ -167,3 +167,20 @@ def child_color(parent: str, index: int) -> str:
     h, light, s = colorsys.rgb_to_hls(r, g, b)
     r, g, b = colorsys.hls_to_rgb((h + 0.04 * (index + 1)) % 1, min(0.9, light + 0.06), s)
     return "#" + "".join(f"{round(x * 255):02x}" for x in (r, g, b))
+
+
+#: The parent that a new kind's own name suggests, in order (fixed values).
+PARENT_WORDS = (("person", ("person", "people", "employee", "staff")), ("org", ("company", "corp", "inc", "ltd", "org")), ("location", ("location", "place", "address", "city")), ("product", ("product", "service", "tool")), ("event", ("event", "conference", "meeting")))
+
+
+def resolved_kind(raw: Column, hint: Column) -> tuple[Column, Column]:
+    """A kind that a model names, and its parent: the registry's, else the hint, else what the name suggests."""
+    kind = F.trim(F.lower(F.coalesce(raw, F.lit(""))))
+    known = normalized_kind(kind)
+    names = [k for k, _, _, _ in KINDS]
+    pairs = [x for k, _, p, _ in KINDS if p for x in (F.lit(k), F.lit(p))]
+    told = F.nullif(F.trim(F.lower(hint)), F.lit(""))
+    guess = reduce(lambda acc, x: acc.when(_any(kind, x[1]), x[0]), PARENT_WORDS, F.when(F.lit(False), ""))
+    is_known = known.isin(*names) & (kind != "")
+    parent = F.when(is_known, F.coalesce(F.element_at(F.create_map(*pairs), known), told)).otherwise(F.coalesce(told, guess))
+    return F.when(kind == "", "entity").when(is_known, known).otherwise(kind), F.when(kind != "", parent)

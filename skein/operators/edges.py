@@ -137,3 +137,11 @@ def delete_nodes(nodes: DataFrame, gone: DataFrame, key: str, children: dict[str
             rows = rows.join(ids, F.col(c) == F.col("_gone"), "left_anti")
         out[name] = rows
     return out
+
+
+def page_relation(primary: Column, found: Column) -> Column:
+    """Relation of a page's main entity to another on it, in the hyphenated words of pages."""
+    org, other = primary.isin("company", "organization"), found.isin("company", "organization")
+    out = F.when(org & (found == "person"), "has-person").when(org & (found == "product"), "has-product").when(org & (found == "location"), "has-location").when(org & (found == "event"), "participated-in-event")
+    out = out.when((primary == "person") & other, "works-at").when((primary == "person") & (found == "location"), "located-at").when((primary == "person") & (found == "event"), "participated-in-event")
+    return out.when((primary == "product") & other, "produced-by").when((primary == "product") & (found == "person"), "associated-with-person").otherwise("related-entity")

@@ -237,3 +237,38 @@ def media_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def planner_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = t(spark, sf_dir, "conversations")
     return c.groupBy(F.col("conv_id").alias("plan_id"), F.col("role").alias("key")).agg(F.max_by("text", "turn").alias("value"))
+
+
+@query("SELECT raw, hint, CASE raw WHEN '' THEN 'entity' WHEN 'hq' THEN 'headquarters' ELSE raw END AS kind, CASE raw WHEN '' THEN NULL WHEN 'hq' THEN 'location' WHEN 'ceo' THEN 'person' WHEN 'city hall' THEN coalesce(hint, 'location') WHEN 'saas tool' THEN coalesce(hint, 'product') END AS parent, count(*) AS n FROM (SELECT CASE c_custkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'hq' WHEN 2 THEN 'ceo' WHEN 3 THEN 'city hall' ELSE 'saas tool' END AS raw, CASE WHEN c_custkey % 2 = 0 THEN 'thing' END AS hint FROM customer) GROUP BY ALL")
+def resolved_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skein.functions.kinds import resolved_kind
+
+    k = F.col("c_custkey") % 5
+    raw = F.when(k == 0, "").when(k == 1, "hq").when(k == 2, "ceo").when(k == 3, "city hall").otherwise("saas tool")
+    g = t(spark, sf_dir, "customer").groupBy(raw.alias("raw"), F.when(F.col("c_custkey") % 2 == 0, "thing").alias("hint")).agg(F.count("*").alias("n"))
+    kind, parent = resolved_kind(F.col("raw"), F.col("hint"))
+    return g.select("raw", "hint", kind.alias("kind"), parent.alias("parent"), "n")
+
+
+@query("SELECT a, b, CASE WHEN a = 'company' AND b = 'person' THEN 'has-person' WHEN a = 'company' AND b = 'product' THEN 'has-product' WHEN a = 'person' AND b = 'company' THEN 'works-at' WHEN a = 'product' AND b = 'company' THEN 'produced-by' WHEN a = 'product' AND b = 'person' THEN 'associated-with-person' ELSE 'related-entity' END AS relation, count(*) AS n FROM (SELECT CASE p_size % 3 WHEN 0 THEN 'company' WHEN 1 THEN 'person' ELSE 'product' END AS a, CASE p_partkey % 3 WHEN 0 THEN 'company' WHEN 1 THEN 'person' ELSE 'product' END AS b FROM part) GROUP BY ALL")
+def page_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = lambda c: F.when(c % 3 == 0, "company").when(c % 3 == 1, "person").otherwise("product")
+    g = t(spark, sf_dir, "part").groupBy(kind(F.col("p_size")).alias("a"), kind(F.col("p_partkey")).alias("b")).agg(F.count("*").alias("n"))
+    return g.select("a", "b", E.page_relation(F.col("a"), F.col("b")).alias("relation"), "n")
+
+
+@query("WITH v AS (SELECT e.vec_id AS id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score, 'semantic' AS kind FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY score DESC, e.vec_id LIMIT 15), s AS (SELECT event_id AS id, 0.0::DOUBLE AS score, 'sql' AS kind FROM events WHERE props ILIKE '%77%' ORDER BY event_id LIMIT 15) SELECT * FROM v UNION ALL SELECT * FROM s")
+def semantic_and_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skein.operators.vectors import top_k
+
+    p = t(spark, sf_dir, "embeddings")
+    near = top_k(p, p.filter("vec_id = 0").first()["embedding"], "embedding", "vec_id", 15).select(F.col("vec_id").alias("id"), "score", F.lit("semantic").alias("kind"))
+    rows = t(spark, sf_dir, "events").filter(F.col("props").ilike("%77%")).orderBy("event_id").limit(15)
+    return near.unionByName(rows.select(F.col("event_id").alias("id"), F.lit(0.0).alias("score"), F.lit("sql").alias("kind")))
+
+
+@query("SELECT event_type AS field_name, count(*) AS discovery_count, round(avg((value > 20)::INT), 6) AS success_rate FROM events GROUP BY event_type HAVING count(*) >= 10 ORDER BY discovery_count DESC, field_name LIMIT 10")
+def field_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = t(spark, sf_dir, "events").withColumn("ok", F.col("value") > 20).withColumnRenamed("event_type", "field_name")
+    rows = L.success_rate(e, ["field_name"], "ok").withColumnRenamed("n", "discovery_count")
+    return rows.filter("discovery_count >= 10").orderBy(F.desc("discovery_count"), "field_name").limit(10)
