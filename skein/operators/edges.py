@@ -71,16 +71,19 @@ def dead_ends(nodes: DataFrame, edges: DataFrame, node: str, src: str, dst: str,
 
 def relation_for_kinds(source: Column, target: Column) -> Column:
     """Relation type of a pair of kinds; related_to where no rule fits."""
-    org = source.isin("organization", "company", "org")
+    org, of_org = source.isin("organization", "company"), target.isin("organization", "company")
     return (
-        F.when(org & (target == "person"), "has_person").when(org & (target == "location"), "has_location").when(org & (target == "product"), "has_product")
-        .when((source == "person") & target.isin("organization", "company", "org"), "works_at").when((source == "person") & (target == "event"), "participates_in")
-        .when(target == "event", "has_event").otherwise("related_to")
+        F.when(org & (target == "person"), "has_person").when(org & (target == "location"), "has_location").when(org & (target == "product"), "produces")
+        .when((source == "person") & of_org, "works_at").when((source == "person") & (target == "event"), "participated_in")
+        .when(target == "event", "associated_with_event").otherwise("related_to")
     )
 
 
-def suggested_relation(child: Column, parent: Column) -> Column:
-    return F.when(child == "product", "product_of").when(child == "headquarters", "headquarters_of").when(child.isin("branch_office", "office"), "branch_of").when(child == "location", "location_of").when(child == "event", "event_of").when(child.isin("org", "organization", "company"), "related_organization").otherwise(F.concat(child, F.lit("_of")))
+def suggested_relation(kind: Column, section: Column) -> Column:
+    """The relation of an entity found in a section to the main entity; people have one where they lead."""
+    leader = F.when(kind.isin("ceo", "founder", "executive", "board_member"), F.concat(kind, F.lit("_of")))
+    place = F.when(kind == "headquarters", "headquarters_of").when(kind == "branch_office", "branch_of").otherwise("location_of")
+    return F.when(section == "persons", leader).when(section == "products", "product_of").when(section == "locations", place).when(section == "events", "event_of").when(section == "organizations", "related_organization")
 
 
 def propagate(entities: DataFrame, edges: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:

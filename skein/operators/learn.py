@@ -42,9 +42,10 @@ def successful_patterns(patterns: DataFrame, least: float, order: list[Column],
     return patterns.filter(F.col("confidence") > least).orderBy(*order).limit(top)
 
 
-def strategy(crawls: Column, success: Column) -> Column:
-    """Timeout in seconds: domains with five crawls or more set their own."""
-    return F.when(crawls >= 5, F.when(success >= 0.7, 90).when(success >= 0.4, 120).otherwise(150)).otherwise(120)
+def strategy(confidence: Column, pattern_quality: Column, crawls: Column, domain_quality: Column) -> tuple[Column, Column]:
+    """Timeout in seconds by a pattern's confidence, and expected quality; domains of five crawls or more tell their own."""
+    timeout = F.when(confidence > 0.8, 90).when(confidence < 0.3, 150).otherwise(120)
+    return timeout, F.coalesce(F.when(crawls >= 5, domain_quality), pattern_quality, F.lit(0.5))
 
 
 def domain_boost(n: Column, quality: Column, success: Column) -> Column:

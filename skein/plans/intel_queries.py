@@ -62,12 +62,13 @@ def kind_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("kind", k.alias("normal_kind"), K.priority(k).alias("priority"), K.more_specific(k, F.lit("org")).alias("upgrades_org"), "n")
 
 
-@query(f"SELECT a, b, CASE WHEN a IN ('organization', 'company', 'org') AND b = 'person' THEN 'has_person' WHEN a IN ('organization', 'company', 'org') AND b = 'product' THEN 'has_product' WHEN b = 'event' THEN 'has_event' ELSE 'related_to' END AS relation, CASE b WHEN 'product' THEN 'product_of' WHEN 'company' THEN 'related_organization' ELSE b || '_of' END AS suggested, count(*) AS n FROM (SELECT {_KIND} AS a, CASE p_size % 4 WHEN 0 THEN 'person' WHEN 1 THEN 'product' WHEN 2 THEN 'event_x' ELSE 'company' END AS b FROM part) GROUP BY ALL")
+@query(f"SELECT a, b, CASE WHEN a IN ('organization', 'company') AND b = 'person' THEN 'has_person' WHEN a IN ('organization', 'company') AND b = 'product' THEN 'produces' WHEN b = 'event' THEN 'associated_with_event' ELSE 'related_to' END AS relation, CASE WHEN b = 'person' AND a = 'ceo' THEN 'ceo_of' WHEN b = 'product' THEN 'product_of' WHEN b = 'event' THEN 'event_of' END AS suggested, count(*) AS n FROM (SELECT {_KIND} AS a, CASE p_size % 4 WHEN 0 THEN 'person' WHEN 1 THEN 'product' WHEN 2 THEN 'event' ELSE 'company' END AS b FROM part) GROUP BY ALL")
 def relation_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_size") % 4
-    b = F.when(k == 0, "person").when(k == 1, "product").when(k == 2, "event_x").otherwise("company")
+    b = F.when(k == 0, "person").when(k == 1, "product").when(k == 2, "event").otherwise("company")
     rows = _kinds(spark, sf_dir).join(t(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), b.alias("b")), "id").groupBy(F.col("kind").alias("a"), "b").agg(F.count("*").alias("n"))
-    return rows.select("a", "b", E.relation_for_kinds(F.col("a"), F.col("b")).alias("relation"), E.suggested_relation(F.col("b"), F.col("a")).alias("suggested"), "n")
+    section = F.concat(F.col("b"), F.lit("s"))
+    return rows.select("a", "b", E.relation_for_kinds(F.col("a"), F.col("b")).alias("relation"), E.suggested_relation(F.col("a"), section).alias("suggested"), "n")
 
 
 _TITLE = "CASE c_custkey % 6 WHEN 0 THEN 'Chief Executive Officer' WHEN 1 THEN 'Co-Founder' WHEN 2 THEN 'Vice President' WHEN 3 THEN 'Chairman' WHEN 4 THEN 'Head office' ELSE 'Clerk' END"

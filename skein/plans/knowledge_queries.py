@@ -65,10 +65,11 @@ def pattern_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BOOST = "SELECT user_id, count(*) AS n, avg((event_type <> 'error')::INT) AS s, avg(value) / 100 AS q FROM events GROUP BY user_id"
 
 
-@query(f"SELECT user_id, round(CASE WHEN n < 3 THEN 0.0 WHEN s >= 0.7 THEN q * 30 WHEN s >= 0.5 THEN q * 15 WHEN s < 0.3 THEN -20.0 ELSE 0.0 END, 2) AS domain_boost, CASE WHEN n < 5 THEN 0.0 WHEN s >= 0.8 THEN 10.0 WHEN s >= 0.6 THEN 5.0 WHEN s < 0.3 THEN -10.0 ELSE 0.0 END::DOUBLE AS pattern_boost, CASE WHEN n >= 5 THEN CASE WHEN s >= 0.7 THEN 90 WHEN s >= 0.4 THEN 120 ELSE 150 END ELSE 120 END AS timeout FROM ({_BOOST})")
+@query(f"SELECT user_id, round(CASE WHEN n < 3 THEN 0.0 WHEN s >= 0.7 THEN q * 30 WHEN s >= 0.5 THEN q * 15 WHEN s < 0.3 THEN -20.0 ELSE 0.0 END, 2) AS domain_boost, CASE WHEN n < 5 THEN 0.0 WHEN s >= 0.8 THEN 10.0 WHEN s >= 0.6 THEN 5.0 WHEN s < 0.3 THEN -10.0 ELSE 0.0 END::DOUBLE AS pattern_boost, CASE WHEN s > 0.8 THEN 90 WHEN s < 0.3 THEN 150 ELSE 120 END AS timeout, round(CASE WHEN n >= 5 THEN q ELSE 0.25 END, 4) AS expected FROM ({_BOOST})")
 def learned_boosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = events(spark, sf_dir).groupBy("user_id").agg(F.count("*").alias("n"), F.avg(_ok().cast("double")).alias("s"), (F.avg("value") / 100).alias("q"))
-    return g.select("user_id", F.round(L.domain_boost(F.col("n"), F.col("q"), F.col("s")), 2).alias("domain_boost"), L.pattern_boost(F.col("n"), F.col("s")).alias("pattern_boost"), L.strategy(F.col("n"), F.col("s")).alias("timeout"))
+    timeout, expected = L.strategy(F.col("s"), F.lit(0.25), F.col("n"), F.col("q"))
+    return g.select("user_id", F.round(L.domain_boost(F.col("n"), F.col("q"), F.col("s")), 2).alias("domain_boost"), L.pattern_boost(F.col("n"), F.col("s")).alias("pattern_boost"), timeout.alias("timeout"), F.round(expected, 4).alias("expected"))
 
 
 @query("SELECT event_type, count(*) AS n, round(coalesce(avg((value > 20)::INT), 0.0), 6) AS success_rate FROM events GROUP BY event_type")
