@@ -39,12 +39,28 @@ def media_cost(media: DataFrame) -> DataFrame:
     return media.groupBy("media_type").agg(F.count("*").alias("items"), F.sum(each).cast("long").alias("seconds"))
 
 
-def processing_method(media: DataFrame) -> DataFrame:
-    """The method chosen for each medium and its estimated time."""
-    t, size = F.col("media_type"), F.coalesce(F.col("size_mb"), F.lit(0.0))
-    method = F.when(t == "image", F.when(F.col("score") >= 0.5, "ocr").otherwise("caption")).when(t == "video", F.when(size > 50, "skip").otherwise("transcribe")).when(t == "audio", "transcribe").when(t == "pdf", F.when(size > 20, "ocr").otherwise("text"))
-    speed = F.when(method.isin("caption", "text"), "fast").when(method == "ocr", "medium").otherwise("slow")
-    return media.withColumn("method", method).withColumn("speed", speed).withColumn("seconds", F.when(speed == "fast", 1).when(speed == "medium", 5).otherwise(15))
+def processing_method(media: DataFrame, prefer_speed: bool = False, prefer_quality: bool = True) -> DataFrame:
+    """The method for each medium and how sure that choice is.
+
+    ``media`` has media_type and url, and where known is_handwritten,
+    is_printed_text, has_clear_speech, has_audio, duration, width and height.
+    """
+    have = lambda c, kind: F.col(c).cast(kind) if c in media.columns else F.lit(None).cast(kind)
+    u = F.lower(F.coalesce(F.col("url"), F.lit("")))
+    pixels = have("width", "long") * have("height", "long")
+    pick = lambda m, c: F.struct(F.lit(m).alias("method"), F.lit(c).alias("confidence"))
+    image = (
+        F.when(have("is_handwritten", "boolean"), pick("image2text", 0.9)).when(have("is_printed_text", "boolean"), pick("tesseract", 0.95)).when((pixels > 0) & (pixels < 200_000), pick("image2text", 0.7))
+        .when(u.rlike("screenshot|screen|capture"), pick("tesseract", 0.8)).when(u.rlike("diagram|chart|infographic|graph"), pick("image2text", 0.8)).otherwise(pick("tesseract" if prefer_speed else "image2text", 0.6))
+    )
+    seconds = have("duration", "double")
+    video = (
+        F.when(have("has_clear_speech", "boolean"), pick("speech", 0.9)).when(~have("has_audio", "boolean"), pick("video2text", 0.95)).when((seconds > 0) & (seconds < 120), pick("video2text", 0.7))
+        .when(seconds > 600, pick("speech", 0.75)).otherwise(pick("speech" if prefer_speed or not prefer_quality else "video2text", 0.6))
+    )
+    t = F.col("media_type")
+    chosen = F.when(t == "image", image).when(t == "video", video).when(t == "audio", pick("speech", 1.0)).when(t == "pdf", pick("pdf_extract", 1.0))
+    return media.withColumn("_d", chosen).withColumn("method", F.col("_d.method")).withColumn("method_confidence", F.col("_d.confidence")).drop("_d")
 
 
 def save_links(links: DataFrame, pages: DataFrame) -> DataFrame:

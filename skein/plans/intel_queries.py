@@ -280,12 +280,22 @@ def field_definition_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.field_upsert(known, found, ["c_custkey", "field_name"])
 
 
-@query("SELECT media_id, CASE WHEN media_type = 'image' THEN CASE WHEN score >= 0.5 THEN 'ocr' ELSE 'caption' END WHEN media_type = 'video' THEN CASE WHEN size_mb > 50 THEN 'skip' ELSE 'transcribe' END WHEN media_type = 'audio' THEN 'transcribe' ELSE CASE WHEN size_mb > 20 THEN 'ocr' ELSE 'text' END END AS method FROM (SELECT event_id AS media_id, CASE event_id % 4 WHEN 0 THEN 'image' WHEN 1 THEN 'video' WHEN 2 THEN 'audio' ELSE 'pdf' END AS media_type, value / 100 AS score, value AS size_mb FROM events)")
+@query("""
+SELECT media_id, CASE media_type WHEN 'image' THEN CASE WHEN pixels < 200000 THEN 'image2text' WHEN contains(url, 'screen') THEN 'tesseract' ELSE 'image2text' END
+  WHEN 'video' THEN CASE WHEN NOT has_audio THEN 'video2text' WHEN duration < 120 THEN 'video2text' WHEN duration > 600 THEN 'speech' ELSE 'video2text' END
+  WHEN 'audio' THEN 'speech' ELSE 'pdf_extract' END AS method,
+  CASE media_type WHEN 'image' THEN CASE WHEN pixels < 200000 THEN 0.7 WHEN contains(url, 'screen') THEN 0.8 WHEN contains(url, 'chart') THEN 0.8 ELSE 0.6 END
+  WHEN 'video' THEN CASE WHEN NOT has_audio THEN 0.95 WHEN duration < 120 THEN 0.7 WHEN duration > 600 THEN 0.75 ELSE 0.6 END ELSE 1.0 END::DOUBLE AS confidence
+FROM (SELECT event_id AS media_id, CASE event_id % 4 WHEN 0 THEN 'image' WHEN 1 THEN 'video' WHEN 2 THEN 'audio' ELSE 'pdf' END AS media_type, (user_id * 10) * 400 AS pixels, value * 10 AS duration, user_id % 5 > 0 AS has_audio,
+  CASE event_id % 3 WHEN 0 THEN 'my_screen.png' WHEN 1 THEN 'chart.png' ELSE 'x.png' END AS url FROM events WHERE user_id > 0 AND value > 0)
+""")
 def media_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("event_id") % 4
+    k, j = F.col("event_id") % 4, F.col("event_id") % 3
     kind = F.when(k == 0, "image").when(k == 1, "video").when(k == 2, "audio").otherwise("pdf")
-    rows = t(spark, sf_dir, "events").select(F.col("event_id").alias("media_id"), kind.alias("media_type"), (F.col("value") / 100).alias("score"), F.col("value").alias("size_mb"))
-    return PG.processing_method(rows).select("media_id", "method")
+    url = F.when(j == 0, "my_screen.png").when(j == 1, "chart.png").otherwise("x.png")
+    e = t(spark, sf_dir, "events").filter("user_id > 0 and value > 0")
+    rows = e.select(F.col("event_id").alias("media_id"), kind.alias("media_type"), url.alias("url"), (F.col("user_id") * 10).alias("width"), F.lit(400).alias("height"), (F.col("value") * 10).alias("duration"), (F.col("user_id") % 5 > 0).alias("has_audio"))
+    return PG.processing_method(rows).select("media_id", "method", F.col("method_confidence").alias("confidence"))
 
 
 @query("SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN length(text) > 0 WHEN 1 THEN true ELSE true END AS ok FROM conversations WHERE turn % 3 < 2")
