@@ -114,7 +114,10 @@ def entity_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.mentions(t(spark, sf_dir, "documents"), names, "doc_id", "text", "eid", "name")
 
 
-@query()
+_FIRST_WORDS = "(SELECT DISTINCT item_id AS eid, regexp_extract(text, '^(\\S+)', 1) AS name FROM benchmark)"
+
+
+@query(f"WITH m AS (SELECT doc_id, eid, instr(lower(text), lower(name)) AS pos FROM (SELECT doc_id, text, {_BARE.format('text')} AS x FROM documents), (SELECT eid, name, {_BARE.format('name')} AS n FROM {_FIRST_WORDS} WHERE name <> '') WHERE trim(n) <> '' AND contains(x, n)) SELECT a.doc_id, a.eid AS a, b.eid AS b, abs(a.pos - b.pos) AS distance FROM m a JOIN m b ON a.doc_id = b.doc_id AND a.eid < b.eid WHERE a.pos > 0 AND b.pos > 0 AND abs(a.pos - b.pos) <= 200")
 def mention_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("eid"), F.regexp_extract("text", r"^(\S+)", 1).alias("name")).filter("name <> ''")
     d = t(spark, sf_dir, "documents")
@@ -163,7 +166,11 @@ def entity_embedding_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.entity_views(rows, "c_custkey", "c_name", "data")
 
 
-@query()
+_SNIPPETS = "SELECT doc_id, (i - 1) // 3 AS chunk_index, string_agg(s[i], ' ' ORDER BY i) AS snippet FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS s FROM documents)) GROUP BY ALL"
+_AROUND = ", ".join(f"string_agg(snippet, ' ') OVER (PARTITION BY doc_id ORDER BY chunk_index ROWS BETWEEN {2 * r} PRECEDING AND {2 * r} FOLLOWING) AS w{r}" for r in range(5))
+
+
+@query(f"SELECT doc_id, chunk_index, CASE {' '.join(f'WHEN length(w{r}) >= 200 THEN w{r}' for r in range(4))} ELSE w4 END AS expanded FROM (SELECT doc_id, chunk_index, {_AROUND} FROM ({_SNIPPETS}))")
 def snippet_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.expand_snippets(C.snippets(t(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id", "chunk_index", "snippet").select("doc_id", "chunk_index", "expanded")
 
