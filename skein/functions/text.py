@@ -18,6 +18,8 @@ PROMPT_CUT = r"(?i)(instruction:|###\s|assistant:|user:)"
 BROKEN = (r"(a user:|document|write a\))", r"name_congraining", r"\|\[\"'\)].*beacon", r"jsonleveraging|email_user")
 REFUSALS = ("no information", "not have information", "unable to find", "does not contain", "cannot provide details", "i don't have enough", "no data", "insufficient context", "based solely on the given data", "insufficient_data")
 REFUSED_SIGNS = ("a user:", "document", "write a)", "name_congraining", "beacon", "jsonleveraging")
+#: Phrases that make a line before a colon a sentence, not a heading (fixed values).
+COLON_SENTENCES = ("as follows:", "are as follows:", "is as follows:", "are looking for", "if you are", "the official", "you are looking")
 ODD_CHARACTER = r"[^a-zA-Z0-9\s.,!?;:()\-]"
 
 
@@ -145,8 +147,9 @@ def is_heading(c: str | Column) -> Column:
     """Markdown marks, short lines before a colon, numbered titles, and lines of capitals."""
     line = F.trim(col(c))
     n = F.size(F.split(line, r"\s+"))
-    colon = line.endswith(":") & (F.length(line) < 80) & (n <= 8) & ~F.substring(line, F.lit(1), F.length(line) - 1).rlike("[.!?]")
-    capitals = (line == F.upper(line)) & (line != F.lower(line)) & (n <= 10)
+    said = reduce(lambda a, b: a | b, [F.lower(line).contains(p) for p in COLON_SENTENCES])
+    colon = line.endswith(":") & (F.length(line) < 80) & (n <= 8) & ~line.rlike("[.!?]") & ~said
+    capitals = (line == F.upper(line)) & (line != F.lower(line)) & (F.length(line) < 80) & (n <= 10)
     return F.coalesce((line != "") & (line.startswith("#") | colon | line.rlike(r"^\d+\.\s+[A-Z]") | capitals), F.lit(False))
 
 
@@ -233,8 +236,8 @@ def repaired_json(c: str | Column) -> Column:
 
 def mentions(c: str | Column) -> Column:
     """Capitalised phrases of a question, without question words, longer than two characters."""
-    stop = F.array(*map(F.lit, ("What", "Who", "Where", "When", "Why", "How", "The", "Is", "Are")))
-    found = F.regexp_extract_all(col(c), F.lit(r"\b([A-Z][a-zA-Z]*(?:\s+[A-Z][a-zA-Z]*)*)\b"), F.lit(1))
+    stop = F.array(*map(F.lit, ("I", "The", "This", "What", "Who", "When", "Where", "How", "Why")))
+    found = F.regexp_extract_all(col(c), F.lit(r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)\b"), F.lit(1))
     return F.array_distinct(F.filter(found, lambda x: (F.length(x) > 2) & ~F.array_contains(stop, x)))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from skein.functions.text import let, sentences
+from skein.functions.text import COLON_SENTENCES, let, sentences
 
 
 def snippets(df: DataFrame, key: str, text: str, size: int = 3, context: int = 80) -> DataFrame:
@@ -76,8 +76,8 @@ def _is_heading(line: str) -> bool:
     words = line.split()
     if not words:
         return False
-    colon = line.endswith(":") and len(line) < 80 and len(words) <= 8 and not re.search(r"[.!?]", line[:-1])
-    return line.startswith("#") or colon or bool(re.match(r"\d+\.\s+[A-Z]", line)) or (line.isupper() and len(words) <= 10)
+    colon = line.endswith(":") and len(line) < 80 and len(words) <= 8 and not re.search(r"[.!?]", line) and not any(p in line.lower() for p in COLON_SENTENCES)
+    return line.startswith("#") or colon or bool(re.match(r"\d+\.\s+[A-Z]", line)) or (line.isupper() and len(line) < 80 and len(words) <= 10)
 
 
 def _topics(text: str, most: int, least: int, target: int) -> list[tuple]:
