@@ -170,6 +170,44 @@ def test_chaining_edge_cases(docs, empty):
     assert chaining.passages(empty).count() == 0
 
 
+def test_chaining_keeps_exact_passages_of_a_chain_that_is_not_alike_enough(spark):
+    rng = random.Random(8)
+    some = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    three, phrase = [some(50) for _ in range(3)], [some(14), some(50)]
+    rows = [(d, " ".join(w for p in three for w in [*p, *some(25)]), "en", "a") for d in (1, 2)]
+    rows += [(d, " ".join([*phrase[0], *some(25), *phrase[1]]), "en", "a") for d in (3, 4)]
+    found = chaining.passages(frame(spark, rows)).collect()
+    covered = collections.defaultdict(set)
+    for r in found:
+        assert r.similarity >= 0.8 and r.end_word - r.start_word >= 40
+        covered[r.doc_id].update(range(r.start_word, r.end_word))
+    for d in (1, 2):
+        assert covered[d] >= {75 * p + i for p in range(3) for i in range(50)}
+    for d in (3, 4):
+        assert covered[d] == set(range(39, 89))
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_sub_chains_are_all_longest_runs(seed):
+    rng = random.Random(seed)
+    x, y, n, same, a, b = [], [], [], {}, 0, 0
+    for i in range(rng.randrange(1, 15)):
+        x.append(a), y.append(b), n.append(rng.randrange(1, 30))
+        gap = rng.randrange(1, 26), rng.randrange(1, 26)
+        same[i + 1] = rng.randrange(min(gap))
+        a, b = a + n[-1] + 4 + gap[0], b + n[-1] + 4 + gap[1]
+    same.pop(len(x))
+    good = {}
+    for i in range(len(x)):
+        for j in range(i, len(x)):
+            longer = max(x[j] + n[j] + 4 - x[i], y[j] + n[j] + 4 - y[i])
+            matched = sum(n[i : j + 1]) + 4 * (j + 1 - i) + sum(same[t] for t in range(i + 1, j + 1))
+            if longer >= 40 and matched >= 0.8 * longer:
+                good[i, j] = matched
+    longest = [(i, j, m) for (i, j), m in sorted(good.items()) if not any(p <= i and j <= q and (p, q) != (i, j) for p, q in good)]
+    assert chaining.sub_chains(x, y, n, 5, same, 40, 80) == longest
+
+
 def brute_chain(xs, ys, size, cost):
     best = [float(s) for s in size]
     for i in sorted(range(len(xs)), key=lambda i: (xs[i], ys[i])):
