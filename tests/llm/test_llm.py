@@ -187,6 +187,36 @@ def test_chaining_keeps_exact_passages_of_a_chain_that_is_not_alike_enough(spark
         assert covered[d] == set(range(39, 89))
 
 
+def test_chaining_looks_past_the_first_two_holders(spark):
+    rng = random.Random(9)
+    some = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    passage = some(60)
+    parts = {1: passage[:30], 2: passage[:30], 3: passage[30:], 4: passage[30:], 100: passage, 101: passage}
+    parts |= {5 + i: passage[i % 2 * 30 :][:30] for i in range(80)}  # more holders of the halves than one round asks for
+    found = chaining.passages(frame(spark, [(d, " ".join([*some(50), *p, *some(50)]), "en", "a") for d, p in parts.items()])).collect()
+    assert {(r.doc_id, r.partner, r.start_word, r.end_word, r.matched) for r in found} == {(100, 101, 50, 110, 60), (101, 100, 50, 110, 60)}
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_all_anchors_are_all_diagonal_runs(seed):
+    rng = random.Random(seed)
+    sides = []
+    for _ in range(2):
+        places = sorted(rng.sample(range(60), rng.randrange(1, 50)))
+        sides += [np.array([rng.randrange(1 + seed % 4) for _ in places], np.uint64), np.array(places)]
+    ka, xa, kb, xb = sides
+    same = {(x, y) for p, x in zip(ka.tolist(), xa.tolist()) for q, y in zip(kb.tolist(), xb.tolist()) if p == q}
+    want = set()
+    for x, y in same:
+        if (x - 1, y - 1) not in same:
+            n = 1
+            while (x + n, y + n) in same:
+                n += 1
+            want.add((x, y, n))
+    got = list(zip(*(v.tolist() for v in chaining.all_anchors(ka, xa, kb, xb))))
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_sub_chains_are_all_longest_runs(seed):
     rng = random.Random(seed)
