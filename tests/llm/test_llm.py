@@ -197,6 +197,20 @@ def test_chaining_looks_past_the_first_two_holders(spark):
     assert {(r.doc_id, r.partner, r.start_word, r.end_word, r.matched) for r in found} == {(100, 101, 50, 110, 60), (101, 100, 50, 110, 60)}
 
 
+def test_chaining_of_documents_that_repeat_themselves(spark):
+    rng = random.Random(10)
+    some = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    quoted, twice = some(60), some(60)
+    texts = {1: [*quoted[:30], *some(100), *quoted], 2: quoted, 3: [*twice, *some(50), *twice], 4: twice, 5: ["x", "y"] * 400, 6: ["y"] + ["x", "y"] * 300}
+    found = chaining.passages(frame(spark, [(d, " ".join(t), "en", "a") for d, t in texts.items()])).collect()
+    covered = collections.defaultdict(set)
+    for r in found:
+        covered[r.doc_id].update(range(r.start_word, r.end_word))
+    assert covered[1] >= set(range(130, 190)) and covered[2] == set(range(60))
+    assert covered[3] == {*range(60), *range(110, 170)} and covered[4] == set(range(60))
+    assert len(covered[5]) >= 600 and len(covered[6]) == 601
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_all_anchors_are_all_diagonal_runs(seed):
     rng = random.Random(seed)
