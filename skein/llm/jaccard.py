@@ -314,27 +314,33 @@ def _squares(big: DataFrame, small: int) -> DataFrame:
 
 def components(docs: DataFrame, words: int = 5, percent: int = 80, small: int = 512, pivots: int = 4, depth: int = 1, block_mb: float = 8.0) -> DataFrame:
     """``doc_id``, ``text_key`` (a hash of the text), ``n_shingles`` and ``component_id`` of every document."""
+    return _with_first(docs, words, percent, small, pivots, depth, block_mb).drop("first")
+
+
+def _with_first(docs: DataFrame, words: int = 5, percent: int = 80, small: int = 512, pivots: int = 4, depth: int = 1, block_mb: float = 8.0) -> DataFrame:
+    """``components`` with the ``first`` row of each component: smallest id, null last, then ``text_key``."""
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")
     found = cut(shingle_sets(docs, words, percent, block_mb), "jaccard-sets", release=True)
-    classes = found.filter("shared").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("central").alias("central"), F.first("members").alias("members"), F.first("window").alias("window"), F.first("inner").alias("inner"))
+    classes = found.filter("shared").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.min(row).alias("first"), F.first("n_shingles").alias("n"), F.first("central").alias("central"), F.first("members").alias("members"), F.first("window").alias("window"), F.first("inner").alias("inner"))
     classes = cut(classes.withColumn("node", F.monotonically_increasing_id()), "jaccard-classes")  # written once, so the numbers stay
     sets = classes.select(F.col("node").alias("sig"), "n", F.round(F.col("central") * 100).cast("int").alias("central"), "members", "window", "inner")
     labels = connected_components(find_links(sets, percent, small, pivots, depth))
-    named = classes.select("sig", "rep", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = classes.select("sig", "rep", "first", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = cut(named, "jaccard-named")
-    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = cut(named.join(least, "component").select("sig", "component_id"), "jaccard-names")
-    alone = found.filter(~F.col("shared")).select("doc_id", "text_key", "n_shingles", F.col("doc_id").alias("component_id"))
-    grouped = found.filter("shared").select("doc_id", "text_key", "n_shingles", "sig").join(named, "sig").select("doc_id", "text_key", "n_shingles", "component_id")
+    least = named.groupBy("component").agg(F.min("rep").alias("component_id"), F.min("first").alias("first"))
+    named = cut(named.drop("first").join(least, "component").select("sig", "component_id", "first"), "jaccard-names")
+    alone = found.filter(~F.col("shared")).select("doc_id", "text_key", "n_shingles", F.col("doc_id").alias("component_id"), row.alias("first"))
+    grouped = found.filter("shared").select("doc_id", "text_key", "n_shingles", "sig").join(named, "sig").select("doc_id", "text_key", "n_shingles", "component_id", "first")
     return alone.unionByName(grouped)
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """``docs`` without those linked, over any number of links, to a document with a smaller id.
 
-    Of rows that repeat an id and its text one stays. Rows without shingles all stay.
+    A null id counts as larger than all others; rows with one id go by a hash of their texts. Of rows that repeat an id and its text one stays. Rows without shingles all stay.
     """
-    rows = cut(components(docs, **options), "jaccard-components")
-    gone = rows.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct()
+    rows = cut(_with_first(docs, **options), "jaccard-components")
+    gone = rows.filter(~F.col("doc_id").eqNullSafe(F.col("first.doc_id")) | (F.col("text_key") != F.col("first.text_key"))).select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct()
     key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     keyed = docs.withColumn("_text_key", key)
     kept = keyed.join(gone, keyed["doc_id"].cast("long").eqNullSafe(F.col("gone_id")) & (F.col("_text_key") == F.col("gone_key")), "left_anti")

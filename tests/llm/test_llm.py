@@ -398,6 +398,17 @@ def test_jaccard_edge_cases(docs, empty):
     assert len(kept) == len(set(kept)) and {0, 1, 2, 3, 6} <= set(kept) and not {4, 7, 8} & set(kept)
 
 
+def test_one_of_each_keeps_one_row_of_near_copies_without_ids_or_with_one_id(spark):
+    rng = random.Random(11)
+    text = lambda: [f"w{rng.randrange(10**6)}" for _ in range(100)]
+    base = [text() for _ in range(4)]
+    rows = [(d, " ".join([*b, *end]), "en", "a") for b, d in zip(base, (None, None, 5, 6)) for end in ([], ["one"], ["two", "more"])]
+    rows += [(None, " ".join([*base[3], "unnamed"]), "en", "a"), (None, "", "en", "a"), (None, "", "en", "a")]
+    kept = jaccard.one_of_each(frame(spark, rows)).collect()
+    starts = collections.Counter((r.doc_id, r.text[:20]) for r in kept)
+    assert starts == {**{(d, " ".join(b)[:20]): 1 for b, d in zip(base, (None, None, 5, 6))}, (None, ""): 2}
+
+
 def test_set_packing_keeps_48_bits():
     x = np.sort(common._splitmix(9, 50))
     assert (jaccard.unpack(jaccard.pack(x)) == exchange.narrow(x, 48)).all()
