@@ -211,6 +211,98 @@ def test_chaining_of_documents_that_repeat_themselves(spark):
     assert len(covered[5]) >= 600 and len(covered[6]) == 601
 
 
+def patchwork(seed, n=200):
+    """Documents of lines that many have, passages edited or cut, and words of their own."""
+    rng = random.Random(seed)
+    some = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    lines, shared = [some(rng.randrange(6, 20)) for _ in range(12)], [some(rng.randrange(30, 90)) for _ in range(6)]
+    rows = []
+    for d in range(n):
+        text = []
+        for _ in range(rng.randrange(1, 6)):
+            kind = rng.random()
+            if kind < 0.65:
+                text += some(rng.randrange(5, 60)) if kind < 0.35 else rng.choice(lines)
+                continue
+            copy = list(rng.choice(shared))
+            for _ in range(rng.randrange(0, 9)):
+                copy[rng.randrange(len(copy))] = some(1)[0]
+            text += copy[rng.randrange(9) :] if rng.random() < 0.4 else copy
+        rows.append((d, " ".join(text), "en", "a"))
+    return rows
+
+
+def brute_passages(rows):
+    import pyarrow as pa
+
+    hashes = {d: common.Words(pa.array([t])).hash for d, t, *_ in rows}
+    found = []
+    for a, b in itertools.combinations(sorted(hashes), 2):
+        for x0, x1, y0, y1, _ in chaining.passages_between(hashes[a], hashes[b], 5, 40, 80, 25, 0.1):
+            found += [(a, x0, x1, b), (b, y0, y1, a)]
+    return found
+
+
+def covered_words(found):
+    out = collections.defaultdict(set)
+    for d, a, b, *_ in found:
+        out[d].update(range(a, b))
+    return out
+
+
+@pytest.mark.parametrize("seed,most", [(1, 1000), (2, 16), (3, 1)])
+def test_chaining_against_all_pairs(spark, seed, most):
+    rows = patchwork(seed)
+    want = brute_passages(rows)
+    got = [(r.doc_id, r.start_word, r.end_word, r.partner) for r in chaining.passages(frame(spark, rows), most=most).collect()]
+    all_words, words_found = covered_words(want), covered_words(got)
+    # an anchor is in one chain only, so of chains that part at it whole documents and segments may prefer another
+    assert len(set(all_words) - set(words_found)) <= 1
+    assert sum(len(all_words[d] - words_found[d]) for d in all_words) <= 0.01 * sum(map(len, all_words.values()))
+    top = {d: d for d in range(len(rows))}
+
+    def root(d):
+        while top[d] != d:
+            d = top[d]
+        return d
+
+    for d, _, _, p in got:
+        top[root(d)] = root(p)
+    assert all(root(d) == root(p) for d, _, _, p in want if d in words_found and p in words_found)  # no document loses touch with one it shares a passage with
+
+
+def test_chaining_of_pieces_that_earlier_documents_hold(spark):
+    rng = random.Random(12)
+    some = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    passage, rows = some(105), []
+    for i in range(0, 100, 20):  # each stretch of 20 words is in two earlier documents
+        rows += [(i // 10 + j, " ".join([*some(40), *passage[i : i + 20], *some(40)]), "en", "a") for j in (0, 1)]
+    copy = [w if i % 21 != 20 else "other" for i, w in enumerate(passage)]
+    rows += [(10, " ".join(passage), "en", "a"), (11, " ".join(copy), "en", "a")]
+    runs, left, right = (5, 3, 3, 3, 5, 3, 3, 2, 5), [], []
+    for n in runs:  # 32 of 40 words, three seeds
+        both = some(n)
+        left += [*both, *some(1)]
+        right += [*both, *some(1)]
+    rows += [(20, " ".join(left[:-1]), "en", "a"), (21, " ".join(right[:-1]), "en", "a")]
+    for most in (16, 1):
+        found = {(r.doc_id, r.partner) for r in chaining.passages(frame(spark, rows), most=most).collect()}
+        assert found == {(10, 11), (11, 10), (20, 21), (21, 20)}
+
+
+def test_chaining_of_many_copies_costs_a_row_each(spark):
+    rng = random.Random(13)
+    some = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    one, edge = some(60), some(36)
+    rows = [(d, " ".join(one), "en", "a") for d in range(500)]
+    rows += [(1000 + d, " ".join([*some(50), *edge, *some(50)]), "en", "a") for d in range(20)]  # too short but for the next
+    rows += [(2000, " ".join([*edge[:18], *some(5), *edge[18:]]), "en", "a")]
+    found = chaining.passages(frame(spark, rows)).collect()
+    count = collections.Counter(r.doc_id for r in found)
+    assert set(count) >= set(range(500)) and all(count[d] == 1 for d in range(500))
+    assert {r.partner for r in found if r.doc_id < 500} == {0, 499}
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_all_anchors_are_all_diagonal_runs(seed):
     rng = random.Random(seed)
