@@ -238,7 +238,7 @@ def brute_passages(rows):
     hashes = {d: common.Words(pa.array([t])).hash for d, t, *_ in rows}
     found = []
     for a, b in itertools.combinations(sorted(hashes), 2):
-        for x0, x1, y0, y1, _ in chaining.passages_between(hashes[a], hashes[b], 5, 40, 80, 25, 0.1):
+        for x0, x1, y0, y1, _ in chaining.passages_between(hashes[a], hashes[b], chaining.Rule()):
             found += [(a, x0, x1, b), (b, y0, y1, a)]
     return found
 
