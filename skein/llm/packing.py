@@ -89,13 +89,15 @@ def first_fit_decreasing(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np
     return bins, offsets
 
 
-def pack(docs: DataFrame, size: int = 1024, group_mb: float = 4.0, seed: int = 7, path: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, size: int = 1024, group_mb: float = 4.0, seed: int = 7, path: str | None = None, groups: int | None = None) -> DataFrame:
     """Packs ``docs`` into sequences of ``size`` ids at most.
 
-    ``group_mb`` is the input behind one group; ``seed`` deals the groups anew.
+    ``group_mb`` is the input behind one group, by the optimiser's size of the input;
+    ``groups`` sets their number instead, so that a table gives the same sequences
+    whatever its statistics say; ``seed`` deals the groups anew.
     Returns one row per piece with its sequence and its place there.
     """
-    groups = parts(docs, group_mb, least=16)
+    groups = groups or parts(docs, group_mb, least=16)
     dealt = F.pmod(F.xxhash64(F.lit(seed), "doc_id", F.floor(F.col("start") / (64 * size)), "doc_tokens"), F.lit(groups)).cast("long")
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
@@ -108,4 +110,4 @@ def pack(docs: DataFrame, size: int = 1024, group_mb: float = 4.0, seed: int = 7
         sequence = (int(key[0].as_py()) << 32) + bins
         return group.append_column("sequence_id", pa.array(sequence, pa.int64())).append_column("offset", pa.array(offsets, pa.int64()))
 
-    return cut_pieces(docs, size, path or vocabulary_path("byte_bpe_50k.tiktoken")).withColumn("bin_group", dealt).groupBy("bin_group").applyInArrow(run, PACKED)
+    return cut_pieces(docs, size, path or vocabulary_path("byte_bpe_50k.json")).withColumn("bin_group", dealt).groupBy("bin_group").applyInArrow(run, PACKED)

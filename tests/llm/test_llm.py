@@ -534,16 +534,16 @@ def test_toxicity_edge_cases(spark, docs, empty):
 
 
 # ---------------------------------------------------------------- 7
-def test_packing_is_whole(docs, empty):
+def test_packing_is_whole(spark, docs, empty):
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(vocab.vocabulary_path("byte_bpe_50k.json"))
-    model.encode_special_tokens = True
-    got = packing.pack(docs).collect()
+    rows = [*edge_rows(), (70, "a <|endoftext|> b", "en", "a"), (71, " " * 1_000_000 + "a", "en", "a"), (72, "x" * 300_000, "en", "a")]
+    got = packing.pack(frame(spark, rows)).collect()
     pieces = collections.defaultdict(list)
     for r in got:
         pieces[(r.doc_id, r.start)].append(r)
-    for d, t, *_ in edge_rows():
+    for d, t, *_ in rows:
         ids = np.array([*model.encode(t or "", add_special_tokens=False).ids, 0], dtype="<u4")
         at = 0
         while at < len(ids):
@@ -563,13 +563,12 @@ def test_packing_is_whole(docs, empty):
     assert packing.pack(empty).count() == 0
 
 
-@pytest.mark.parametrize("text", ["<|endoftext|> a", "퟿‍👩‍👩‍👧 x", "  \n\n\t x  ", "don't DON'T 12345", "a" * 5000])
+@pytest.mark.parametrize("text", ["a <|endoftext|> b", "<|endoftext|><|endof<|endoftext|>", "퟿‍👩‍👩‍👧 x", "  \n\n\t x  ", "don't DON'T 12345", "a" * 100_000, " " * 1_000_000 + "a", " \n" * 200_000])
 def test_ranks_give_the_same_ids(text):
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(vocab.vocabulary_path("byte_bpe_50k.json"))
-    model.encode_special_tokens = True
-    assert vocab.byte_bpe(vocab.vocabulary_path("byte_bpe_50k.tiktoken"))(text).tolist() == model.encode(text, add_special_tokens=False).ids
+    assert vocab.byte_bpe(vocab.vocabulary_path("byte_bpe_50k.json"))(text).tolist() == model.encode(text, add_special_tokens=False).ids
 
 
 def test_first_fit_decreasing_against_a_plain_loop():
