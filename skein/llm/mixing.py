@@ -32,6 +32,7 @@ from skein.llm.common import cut
 #: Odd primes for the affine permutations (fixed values).
 PRIMES = (10_007, 20_011, 30_011, 40_009, 50_021, 60_013, 70_001, 80_021, 90_001, 100_003, 110_017, 120_011)
 BROADCAST_ROWS = 100_000  # of sources; with more, the join is by shuffle
+SALTS = 16  # parts of a source in that join
 
 
 def n_words(text: str | Column) -> Column:
@@ -111,26 +112,33 @@ def _permuted(block: Column, n: Column, source: Column, epoch: Column, seed: int
 
 
 def dealt(docs: DataFrame, target_entropy: float = 0.98, max_repeats: float = 2.0, block_tokens: int = 65_536, budget: int | None = None, seed: int = 17) -> DataFrame:
-    """``docs`` once per visit, with mix_source, mix_weight, mix_epoch, mix_block and mix_order."""
+    """``row`` (the columns of ``docs``) once per visit, with mix_source, mix_weight, mix_epoch, mix_block and mix_order.
+
+    The documents' own columns stay inside ``row``, so that no name can clash.
+    """
     plan = plan_sources(docs, target_entropy, max_repeats, block_tokens, budget)
+    inner = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    rows = docs.select(inner).select("row", F.coalesce(F.col("row.source").cast("string"), F.lit("")).alias("mix_source"))
     if plan.count() <= BROADCAST_ROWS:
-        plan = F.broadcast(plan)
-    rows = docs.withColumn("mix_source", F.coalesce(F.col("source").cast("string"), F.lit(""))).join(plan, "mix_source")
-    n, visits = F.col("mix_blocks"), F.col("mix_visits")
-    rows = rows.withColumn("mix_block", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), n))
+        rows = rows.join(F.broadcast(plan), "mix_source")
+    else:  # the plan's row of a source is met by documents in so many parts, so that none is a task by itself
+        salted = plan.withColumn("mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.withColumn("mix_salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(salted, ["mix_source", "mix_salt"]).drop("mix_salt")
+    n, visits, doc = F.col("mix_blocks"), F.col("mix_visits"), F.col("row.doc_id").cast("long")
+    rows = rows.withColumn("mix_block", F.pmod(F.xxhash64(F.lit(seed), doc), n))
     epochs = F.ceil(visits / n).cast("int")
     rows = rows.withColumn("mix_epoch", F.explode(F.when(epochs > 0, F.sequence(F.lit(0), epochs - 1)).otherwise(F.array().cast("array<int>"))))
     place = F.col("mix_epoch") * n + _permuted(F.col("mix_block"), n, F.col("mix_source"), F.col("mix_epoch"), seed)
-    jitter = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "mix_epoch"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    jitter = F.pmod(F.xxhash64(F.lit(seed), doc, "mix_epoch"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     return rows.withColumn("mix_place", place).filter(F.col("mix_place") < visits).withColumn("mix_order", (F.col("mix_place") + jitter) / visits)
 
 
 def plan(docs: DataFrame, **options) -> DataFrame:
     """One row per visit of a document: its source, tokens, epoch, block and place in the mixed order."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.col("text").cast("string").alias("text"))
-    return dealt(rows, **options).select("doc_id", F.col("mix_source").alias("source"), n_words("text").alias("n_tokens"), F.col("mix_epoch").alias("epoch"), F.col("mix_block").alias("block"), F.col("mix_order").alias("order_key"), F.col("mix_weight").alias("weight"))
+    return dealt(rows, **options).select("row.doc_id", F.col("mix_source").alias("source"), n_words(F.col("row.text")).alias("n_tokens"), F.col("mix_epoch").alias("epoch"), F.col("mix_block").alias("block"), F.col("mix_order").alias("order_key"), F.col("mix_weight").alias("weight"))
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """Every document as often as its source's weight asks, in the columns of ``docs``."""
-    return dealt(docs, **options).select(docs.columns)
+    return dealt(docs, **options).select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
