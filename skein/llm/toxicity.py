@@ -15,8 +15,8 @@ corpus is; scoring reads every document whole.
 
 Defined cases: a null or empty text has the score of no terms; null labels and
 labels without a document teach nothing; if a document has several labels the
-highest counts; with no labelled row every score is 0.5 times nothing known, that
-is the smoothed base rate 0.5; a null ``doc_id`` is scored and never taught;
+highest counts; where the labelled rows are none, or all of one label, nothing can
+be told apart and every score is (nearly) 0, so that no document is rejected; a null ``doc_id`` is scored and never taught;
 repeated rows are scored once each; other columns are ignored by the score.
 """
 
@@ -98,11 +98,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, max_term
 
     ``least_gain`` is the log-likelihood ratio that a term needs to be kept.
     """
+    known_ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     taught = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
         .filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (crc_mod_column("doc_id", fold[0]) != fold[1]))
         .groupBy("doc_id")
         .agg(F.max("toxic").alias("toxic"))
+        .join(known_ids, "doc_id", "left_semi")  # labels without a document use up none of the sample
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(max_labelled)  # at most max_labelled rows of 12 bytes: small enough to broadcast
     )
@@ -118,8 +120,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, max_term
     sample = cut(text_column(docs).join(F.broadcast(taught), "doc_id").select("toxic", "text").mapInArrow(slots_of, "toxic int, slots array<int>"), "toxicity-sample")
     totals = sample.agg(F.count("*").alias("n"), F.sum("toxic").alias("pos")).first()
     n, pos = totals["n"], totals["pos"] or 0
-    if not n:
-        return Machine(bits, np.zeros(0, np.int64), 0.0, np.zeros(0), np.zeros((0, 1)))
+    if pos in (0, n):
+        return Machine(bits, np.zeros(0, np.int64), -30.0, np.zeros(0), np.zeros((0, 1)))
     a, b = F.col("a"), F.col("b")
 
     def part(x, row, col):
