@@ -17,8 +17,10 @@ joined recursively:
   a large region is at home with its nearest pivot and a guest of each pivot that is
   at most 0.4 farther, so a linked pair meets where one of them is at home.
 * Regions whose members are all connected already are finished; small ones are
-  joined in one task, member by member; large ones recur with new pivots. A region
-  that windows cannot shrink any more is joined in squares of bounded size.
+  joined in one task, member by member; large ones recur with new pivots, as often as
+  their windows make them smaller. Only a region that windows leave at three quarters
+  of its size or more, whose members lie about as far from all pivots, is joined in
+  squares of bounded size instead.
 
 Documents with equal shingle sets are one representative from the start, and the
 links found inside a region are a spanning forest, so a group of copies costs as
@@ -152,15 +154,12 @@ def _distances(pairs: DataFrame, sets: DataFrame, most: int = 256) -> DataFrame:
 
 
 def pack(members: np.ndarray) -> bytes:
-    """A sorted set, 48 bits a member."""
-    return np.ascontiguousarray(members.view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes()
+    """A sorted set, 64 bits a member."""
+    return np.ascontiguousarray(members).tobytes()
 
 
 def unpack(data) -> np.ndarray:
-    six = np.frombuffer(data, dtype=np.uint8).reshape(-1, 6)
-    out = np.zeros((len(six), 8), dtype=np.uint8)
-    out[:, 2:] = six
-    return out.reshape(-1).view(U)
+    return np.frombuffer(data, dtype=U)
 
 
 def _by_region(group: pa.Table) -> list[np.ndarray]:
@@ -248,17 +247,22 @@ def _join_regions(percent: int):
 MEMBER = "region long, sig long, inner boolean, n long, component long, side int"
 
 
-def find_links(sets: DataFrame, percent: int, small: int, pivots: int, depth: int) -> DataFrame:
+STUCK = 0.75  # a region with more of its parent's members than this is not parted again
+
+
+def find_links(sets: DataFrame, percent: int, small: int, pivots: int) -> DataFrame:
     """Edges (src, dst) between sets whose components are those of the full link graph.
 
     ``sets`` has sig (here a number), n, central, members, window and inner, one row per set.
     """
     spark = sets.sparkSession
     reach = 1 - percent / 100
-    at = sets.select(F.explode(F.arrays_zip("window", "inner")).alias("w"), "sig", "n", "central").select(F.col("w.window").alias("region"), "sig", F.col("w.inner").alias("inner"), "n", "central")
+    at = sets.select(F.explode(F.arrays_zip("window", "inner")).alias("w"), "sig", "n", "central").select(F.col("w.window").alias("region"), "sig", F.col("w.inner").alias("inner"), "n", "central", F.lit(1 << 62).alias("parent"))
     members = sets.select("sig", "members")
     edges = spark.createDataFrame([], "src long, dst long")
-    for level in range(depth + 1):
+    level = -1
+    while True:
+        level += 1
         many = pivots if level else 1
         key = F.xxhash64("sig", "inner")
         chosen = [F.max_by("sig", F.struct(F.col("central"), F.col("sig"))), *(F.min_by("sig", F.xxhash64("sig", F.lit(level * pivots + j))) for j in range(1, many))]
@@ -280,26 +284,26 @@ def find_links(sets: DataFrame, percent: int, small: int, pivots: int, depth: in
         left = cut(at.join(labels, "sig", "left").withColumn("component", F.coalesce("component", "sig")), "jaccard-labelled")
         sized = left.groupBy("region").agg(F.count("*").alias("n_left"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("inner").alias("home")).filter("lo != hi and home").select("region", "n_left")
         left = cut(left.join(cut(sized, "jaccard-open"), "region"), "jaccard-open-members")
-        total = left.agg(F.count("*"), F.count_if(F.col("n_left") > small)).first()
+        stuck = F.lit(level > 0) & (F.col("n_left") > STUCK * F.col("parent"))  # level 0 knows its regions by shingles alone
+        total = left.agg(F.count("*"), F.count_if((F.col("n_left") > small) & ~stuck), F.count_if((F.col("n_left") > small) & stuck)).first()
         if not total[0]:
             return edges
-        big = left.filter(F.col("n_left") > small)
+        big = left.filter((F.col("n_left") > small) & ~stuck)
         few = left.filter(F.col("n_left") <= small).select("region", "sig", "inner", "n", "component", F.lit(-1).alias("side"))
-        if level == depth and total[1]:  # what windows do not part: squares of bounded size
-            few = few.unionByName(_squares(big, small))
+        if total[2]:  # what windows do not part: squares of bounded size
+            few = few.unionByName(_squares(left.filter((F.col("n_left") > small) & stuck), small))
         bucket = F.pmod(F.xxhash64("region"), F.lit(max(64, -(-total[0] // 2048))))
         todo = cut(few.groupBy(bucket).applyInArrow(_needed(percent), MEMBER + ", partner long"), "jaccard-todo")
         found = todo.filter("partner < 0").drop("partner").join(members, "sig").groupBy(bucket).applyInArrow(_join_regions(percent), "src long, dst long")
         pairs = todo.filter("partner >= 0").select(F.greatest("sig", "partner").alias("sig"), F.least("sig", "partner").alias("pivot")).distinct()
         met = _distances(pairs, sets).filter(F.lit(100) * F.col("both") >= F.lit(percent) * (F.col("n") + F.col("m") - F.col("both")))
         edges = cut(edges.unionByName(found).unionByName(met.select(F.col("sig").alias("src"), F.col("pivot").alias("dst"))), "jaccard-edges")
-        if level == depth or not total[1]:
+        if not total[1]:
             return edges
         far = near.select("sig", "pivot", (1 - F.col("both") / (F.col("n") + F.col("m") - F.col("both"))).alias("d"))
-        reached = big.select("region", "sig", "inner", "n", "central", F.explode("pivots").alias("pivot")).join(far, ["sig", "pivot"])
+        reached = big.select("region", "sig", "inner", "n", "central", F.col("n_left").alias("parent"), F.explode("pivots").alias("pivot")).join(far, ["sig", "pivot"])
         home = reached.groupBy("region", "sig").agg(F.min("d").alias("nearest"))
-        at = cut(reached.join(home, ["region", "sig"]).filter(F.col("d") <= F.col("nearest") + 2 * reach + 1e-9).select(F.xxhash64("region", "pivot").alias("region"), "sig", "inner", "n", "central"), "jaccard-members")
-    return edges
+        at = cut(reached.join(home, ["region", "sig"]).filter(F.col("d") <= F.col("nearest") + 2 * reach + 1e-9).select(F.xxhash64("region", "pivot").alias("region"), "sig", "inner", "n", "central", "parent"), "jaccard-members")
 
 
 def _squares(big: DataFrame, small: int) -> DataFrame:
@@ -312,19 +316,19 @@ def _squares(big: DataFrame, small: int) -> DataFrame:
     return rows.select(F.xxhash64("region", low, high).alias("region"), "sig", "inner", "n", "component", side.cast("int").alias("side"))
 
 
-def components(docs: DataFrame, words: int = 5, percent: int = 80, small: int = 512, pivots: int = 4, depth: int = 1, block_mb: float = 8.0) -> DataFrame:
+def components(docs: DataFrame, words: int = 5, percent: int = 80, small: int = 512, pivots: int = 4, block_mb: float = 8.0) -> DataFrame:
     """``doc_id``, ``text_key`` (a hash of the text), ``n_shingles`` and ``component_id`` of every document."""
-    return _with_first(docs, words, percent, small, pivots, depth, block_mb).drop("first")
+    return _with_first(docs, words, percent, small, pivots, block_mb).drop("first")
 
 
-def _with_first(docs: DataFrame, words: int = 5, percent: int = 80, small: int = 512, pivots: int = 4, depth: int = 1, block_mb: float = 8.0) -> DataFrame:
+def _with_first(docs: DataFrame, words: int = 5, percent: int = 80, small: int = 512, pivots: int = 4, block_mb: float = 8.0) -> DataFrame:
     """``components`` with the ``first`` row of each component: smallest id, null last, then ``text_key``."""
     row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")
     found = cut(shingle_sets(docs, words, percent, block_mb), "jaccard-sets", release=True)
     classes = found.filter("shared").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.min(row).alias("first"), F.first("n_shingles").alias("n"), F.first("central").alias("central"), F.first("members").alias("members"), F.first("window").alias("window"), F.first("inner").alias("inner"))
     classes = cut(classes.withColumn("node", F.monotonically_increasing_id()), "jaccard-classes")  # written once, so the numbers stay
     sets = classes.select(F.col("node").alias("sig"), "n", F.round(F.col("central") * 100).cast("int").alias("central"), "members", "window", "inner")
-    labels = connected_components(find_links(sets, percent, small, pivots, depth))
+    labels = connected_components(find_links(sets, percent, small, pivots))
     named = classes.select("sig", "rep", "first", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = cut(named, "jaccard-named")
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"), F.min("first").alias("first"))
@@ -341,11 +345,13 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """
     rows = cut(_with_first(docs, **options), "jaccard-components")
     gone = rows.filter(~F.col("doc_id").eqNullSafe(F.col("first.doc_id")) | (F.col("text_key") != F.col("first.text_key"))).select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct()
-    key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    keyed = docs.withColumn("_text_key", key)
-    kept = keyed.join(gone, keyed["doc_id"].cast("long").eqNullSafe(F.col("gone_id")) & (F.col("_text_key") == F.col("gone_key")), "left_anti")
+    # the documents' own columns stay inside ``row``, so that no name can clash
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
+    keyed = keyed.select("row", F.col("row.doc_id").cast("long").alias("id"), F.xxhash64(text).alias("key"))
+    kept = keyed.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("key") == F.col("gone_key")), "left_anti")
     twice = rows.filter("n_shingles > 0").groupBy("doc_id", "text_key").count().filter("count > 1")
     if twice.limit(1).count():
-        empty = F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(r"^[\x20\x09-\x0D]*$")
-        kept = kept.filter(~empty).dropDuplicates(["doc_id", "_text_key"]).unionByName(kept.filter(empty))
-    return kept.select(docs.columns)
+        empty = text.rlike(r"^[\x20\x09-\x0D]*$")
+        kept = kept.filter(~empty).dropDuplicates(["id", "key"]).unionByName(kept.filter(empty))
+    return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
