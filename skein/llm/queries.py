@@ -43,7 +43,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surrogates.report(table(spark, sf_dir, "documents"))
+    return surrogates.report(table(spark, sf_dir, "documents"), surrogates.session_key(spark))
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

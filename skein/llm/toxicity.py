@@ -198,12 +198,12 @@ def score(docs: DataFrame, model: Machine) -> DataFrame:
 def drop_toxic(docs: DataFrame, model: Machine, threshold: float = 0.3) -> DataFrame:
     """``docs`` without those scored at ``threshold`` or more; columns and order of columns unchanged."""
     names, bits, slots = docs.columns, model.bits, model.slots
+    plain, at = docs.toDF(*(f"c{i}" for i in range(len(names)))), names.index("text")  # names may hold dots
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = _place(bits, slots)
-        for batch in slices(batches):
-            texts = batch.column("text").fill_null("")
-            ptr, known = known_terms(texts, bits, place)
+        for batch in slices(batches, by=f"c{at}"):
+            ptr, known = known_terms(batch.column(at).fill_null(""), bits, place)
             yield batch.filter(pa.array(model.scores(ptr, known) < threshold))
 
-    return docs.mapInArrow(run, docs.schema).select(names)
+    return plain.mapInArrow(run, plain.schema).toDF(*names)

@@ -7,6 +7,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -611,7 +612,7 @@ def test_first_fit_decreasing_against_a_plain_loop():
 def test_surrogates_keep_kind_format_and_identity(spark):
     text = "Mail ann.b7@mail3.example.com, call +1 (415) 555-0123 from 10.0.0.255; card 4111111111111111. token = \"40a0bcdef0123456789abcdef0123456789abcde\" Mr. John Smith and Mary Jones-Smith; Smith. ann.b7@mail3.example.com 3.14159 2024-01-02 Анна Петрова"
     docs = spark.createDataFrame([(1, text), (2, None), (3, ""), (None, text), (1, text)], "doc_id long, text string")
-    rows = surrogates.report(docs).collect()
+    rows = surrogates.report(docs, "skein").collect()
     new = next(r for r in rows if r.doc_id == 1)
     for secret in ("ann.b7", "mail3", "555-0123", "10.0.0.255", "4111111111111111", "40a0bcdef", "John", "Smith", "Mary", "Петрова"):
         assert secret not in new.text
@@ -625,7 +626,7 @@ def test_surrogates_keep_kind_format_and_identity(spark):
     assert re.search(r"and (\w+) ", new.text)[1] in surrogates.GIVEN["female latin"]
     assert re.search(r"(\w+) \w+$", new.text)[1] in surrogates.GIVEN["female cyrillic"]
     assert {r.text for r in rows if r.n_entities} == {new.text} and [r.text for r in rows if r.doc_id == 2] == [None]
-    assert surrogates.collisions(docs).count() == 0
+    assert surrogates.collisions(docs, "skein").count() == 0
     assert surrogates.report(docs, "another key").filter("doc_id = 1").first().text != new.text
 
 
@@ -636,11 +637,53 @@ def test_bijection_is_one_to_one(spark):
     assert got == 676 and hosts == 4000
 
 
+def test_moved_is_one_to_one_and_moves_all(spark):
+    rows = spark.range(676).select(F.concat(F.char((F.col("id") / 26).cast("int") + 97), F.char(F.col("id") % 26 + 97)).alias("x"))
+    got = rows.select("x", surrogates.moved(F.col("x"), "k", "t").alias("y"))
+    assert got.agg(F.count_distinct("y")).first()[0] == 676 and got.filter("x = y").count() == 0
+    back = surrogates.bijection(surrogates.bijection(F.col("x"), "k", "t"), "k", "t", back=True)
+    assert rows.filter(back != F.col("x")).count() == 0
+    hosts = spark.range(4000).select(F.concat(F.lit("1.2."), (F.col("id") / 256).cast("int"), F.lit("."), F.col("id") % 256).alias("x"))
+    assert hosts.filter(surrogates._host(F.col("x"), "k") == F.col("x")).count() == 0
+    names = [(a + b + c,) for a in "BDK" for b in "aeiou" for c in ("nna", "ria", "vid", "ul", "ry", "tra")]
+    names = spark.createDataFrame([*names, *((n,) for listed in surrogates.GIVEN.values() for n in listed.split())], "x string").distinct()
+    made = names.select("x", surrogates._name(F.col("x"), "k").alias("y"))
+    assert made.select("y").distinct().count() == names.count() and made.filter("x = y").count() == 0
+
+
+def iban_right(x):
+    x = x.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1
+
+
+def test_one_entity_in_two_formats_has_one_surrogate(spark):
+    pairs = {"iban": ("DE89 3704 0044 0532 0130 00", "DE89370400440532013000"), "phone": ("+49 30 1234 5678", "+49-30-1234-5678"), "mail": ("Ann.Lee@Mail.Example.com", "ann.lee@mail.example.com"), "card": ("4111 1111 1111 1111", "4111111111111111")}
+    rows = [(i, f"see {a} or {b} now") for i, (a, b) in enumerate(pairs.values())] + [(9, "My name is Kwame Mensah. Ask Mensah.")]
+    got = {r.doc_id: r for r in surrogates.report(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    for i, (kind, (a, b)) in enumerate(pairs.items()):
+        x, y = re.fullmatch("see (.*) or (.*) now", got[i].text).groups()
+        bare = lambda t: re.sub(r"[ -]", "", t).lower()
+        assert bare(x) == bare(y) != bare(a) and [len(x), len(y)] == [len(a), len(b)], kind
+        assert [c.isalnum() for c in x] == [c.isalnum() for c in a] and got[i].n_entities == 2 and got[i].n_distinct == got[i].n_surrogates == 1
+        assert x.isupper() == a.isupper() and (kind != "iban" or iban_right(x) and x[:2] == "DE") and (kind != "phone" or x[:3] == "+49")
+    first, last, again = re.fullmatch(r"My name is (\w+) (\w+)\. Ask (\w+)\.", got[9].text).groups()
+    assert last == again and {first, last}.isdisjoint({"Kwame", "Mensah"})
+
+
+@pytest.mark.parametrize("text", ["x@" + "a." * 500_000 + "com", "Mr. " + "Ab-" * 300_000, "7" * 1_000_000, "+1 " + "555 " * 250_000, "token = " + "k9" * 100_000, "AB12 " + "CD34 " * 200_000, "1." * 500_000, "a@" * 400_000])
+def test_surrogates_of_very_long_entities(spark, text):
+    begun = time.time()
+    row = surrogates.report(spark.createDataFrame([(1, text)], "doc_id long, text string"), "k").first()
+    assert len(row.text) == len(text) and time.time() - begun < 60
+    if text.startswith("token"):
+        assert row.n_entities == 1 and "k9" * 4 not in row.text
+
+
 def test_surrogates_are_native_and_keep_columns(docs, empty):
-    out = surrogates.anonymise(docs)
+    out = surrogates.anonymise(docs, "k")
     plan = out._jdf.queryExecution().toString()
     assert out.columns == docs.columns and out.count() == docs.count() and "Python" not in plan and "Arrow" not in plan
-    assert surrogates.report(empty).count() == 0
+    assert surrogates.report(empty, "k").count() == 0
 
 
 # ---------------------------------------------------------------- 9
