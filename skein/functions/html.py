@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from skein.functions.text import col
+from skein.functions.text import col, strip_prompt_lines
 
 #: Containers whose content is no text (fixed values).
 SILENT = ("script", "style", "noscript", "nav", "footer", "header", "form", "aside", "svg")
@@ -31,9 +31,27 @@ def strip_tags(html: str | Column) -> Column:
 
 
 def clean_text(text: str | Column) -> Column:
-    """Tags taken out only where both brackets occur; paragraphs kept apart."""
-    t = col(text)
-    return F.when(t.contains("<") & t.contains(">"), strip_tags(t)).otherwise(F.trim(F.regexp_replace(F.regexp_replace(t, r"[ \t]+", " "), r"\n{3,}", "\n\n")))
+    """Text without tags (taken out only where both brackets occur) and prompt lines; paragraphs stay apart, blanks collapse."""
+    t = F.coalesce(col(text), F.lit(""))
+    bare = F.regexp_replace(strip_silent(t, ("script", "style", "noscript", "nav", "footer", "header", "form")), r"(?s)<[^>]+>", "\n")
+    kept = strip_prompt_lines(F.when(t.contains("<") & t.contains(">"), bare).otherwise(t))
+    narrow = F.regexp_replace(F.regexp_replace(kept, r"\n{2,}", "\n\n"), r"[^\S\n]+", " ")
+    lines = F.transform(F.split(narrow, "\n"), lambda x: F.trim(x))
+    return F.regexp_replace(F.trim(F.array_join(lines, "\n"), F.lit(" \n")), r"\n{3,}", "\n\n")
+
+
+def html_to_text(html: str | Column, most: int | None = None) -> Column:
+    """Text of a page: no silent containers, frames or tags, blanks collapsed, prompt lines stripped; cut at ``most`` characters if given."""
+    bare = F.regexp_replace(strip_silent(F.coalesce(col(html), F.lit("")), ("script", "style", "nav", "footer", "header", "aside", "form", "iframe", "noscript")), r"(?s)<[^>]+>", " ")
+    text = strip_prompt_lines(F.trim(F.regexp_replace(bare, r"\s+", " ")))
+    return text if most is None else F.substring(text, 1, most)
+
+
+def strip_silent(html: Column, tags: tuple[str, ...]) -> Column:
+    """Without comments and the containers ``tags`` and all in them."""
+    for tag in tags:
+        html = F.regexp_replace(html, rf"(?is)<{tag}[^>]*>.*?</{tag}>", " ")
+    return F.regexp_replace(html, r"(?s)<!--.*?-->", " ")
 
 
 def hrefs(html: str | Column) -> Column:
@@ -139,7 +157,7 @@ def _parsed(html: pd.Series, url: pd.Series) -> pd.DataFrame:
     for h, u in zip(html, url):
         r = _Reader(u or "")
         r.feed(h or "")
-        text = " ".join(" ".join(r.text).split())[:15_000]
+        text = " ".join(" ".join(r.text).split())
         meta = r.meta
         rows.append((" ".join(r.title.split()), meta.get("description") or meta.get("og:description", ""), meta.get("author", ""), meta.get("keywords", ""), text, [{"url": x, "text": " ".join(t.split())[:500]} for x, t in r.links], [{"url": x, "alt": a, "title": t} for x, a, t in r.images], [x.strip() for x in r.json_ld]))
     return pd.DataFrame(rows, columns=["title", "description", "author", "keywords", "text", "links", "images", "json_ld"])

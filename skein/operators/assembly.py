@@ -21,7 +21,7 @@ def entity_nodes(rows: DataFrame, name: str, kind: str, score: str) -> DataFrame
 
 def assemble(parts: list[DataFrame], edges: list[DataFrame], limit: int, seeds: DataFrame | None = None, least_edge: int = 1) -> tuple[DataFrame, DataFrame]:
     """Nodes of several tables, seeds first, best first, and the edges between those kept."""
-    nodes = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).groupBy("id").agg(F.first("label").alias("label"), F.first("kind").alias("kind"), F.sum("count").alias("count"), F.max("score").alias("score"))
+    nodes = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).groupBy("id").agg(F.max_by("label", F.struct("score", "label")).alias("label"), F.max_by("kind", F.struct("score", "kind")).alias("kind"), F.sum("count").alias("count"), F.max("score").alias("score"))
     if seeds is not None:
         nodes = nodes.join(seeds.select("id", F.lit(True).alias("seed")).distinct(), "id", "left").withColumn("seed", F.coalesce("seed", F.lit(False)))
     else:

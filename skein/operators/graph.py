@@ -26,8 +26,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", r
         moved = cut(nearer.join(after, F.col("near") == F.col("at"), "left").select("node", F.least("near", F.coalesce("next", "near")).alias("component"), (F.least("near", F.coalesce("next", "near")) != F.col("component")).alias("moved")), "cc-labels")
         labels = moved.select("node", "component")
         if not moved.filter("moved").limit(1).count():
-            break
-    return labels
+            return labels
+    raise RuntimeError(f"components are not settled after {rounds} rounds")
 
 
 def _both_ways(edges: DataFrame, src: str, dst: str) -> DataFrame:

@@ -71,6 +71,34 @@ def relation_near(text: Column, a: Column, b: Column, reach: int = 200, around:
     return out.when(F.abs(i - j) <= around, "related_to")
 
 
+#: Kinds that count as persons, organisations, places (fixed values).
+PERSONS = ("person", "ceo", "founder", "executive", "board_member")
+ORGANISATIONS = ("company", "organization", "org")
+PLACES = ("location", "headquarters", "branch_office", "office")
+#: What a person of a kind is to an organisation (fixed values); others are associated_with.
+ROLES = (("ceo", "leads_as_ceo"), ("founder", "founded"), ("executive", "executive_at"), ("board_member", "board_member_of"))
+
+
+def implied_relations(near: DataFrame, entities: DataFrame, key: str) -> DataFrame:
+    """Relations of entities that stand near each other in a text, by their kinds.
+
+    ``near`` is (key, a, b), ``entities`` (id, name, kind, data). Person to organisation
+    by the person's kind; organisation to product: produces if the product's data name
+    it as its manufacturer, else associated_with_product; organisation to place:
+    headquartered_at or located_at.
+    """
+    one = lambda p: entities.select(F.col("id").alias(p), F.col("name").alias(f"{p}_name"), F.lower("kind").alias(f"{p}_kind"), F.col("data").alias(f"{p}_data"))
+    both = near.select(key, "a", "b").unionByName(near.select(key, F.col("b").alias("a"), F.col("a").alias("b")))
+    rows = both.join(one("a"), "a").join(one("b"), "b")
+    org = lambda p: F.col(f"{p}_kind").isin(*ORGANISATIONS)
+    role = reduce(lambda x, r: x.when(F.col("a_kind") == r[0], r[1]), ROLES, F.when(F.lit(False), "")).otherwise("associated_with")
+    maker = F.lower(F.try_element_at("b_data", F.lit("manufacturer")))
+    made = F.when((maker != "") & F.contains(F.lower("a_name"), maker), "produces").otherwise("associated_with_product")
+    place = F.when(F.col("b_kind") == "headquarters", "headquartered_at").otherwise("located_at")
+    relation = F.when(F.col("a_kind").isin(*PERSONS) & org("b"), role).when(org("a") & (F.col("b_kind") == "product"), made).when(org("a") & F.col("b_kind").isin(*PLACES), place)
+    return rows.select(key, F.col("a").alias("source_id"), F.col("b").alias("target_id"), relation.alias("relation_type")).filter("relation_type is not null").distinct()
+
+
 def missing_fields(entities: DataFrame, edges: DataFrame) -> DataFrame:
     """Organisation, ceo and founder fields that edges imply and data lacks."""
     rules = (("works_at", "organization", 0.8, False), ("ceo_of", "ceo", 0.9, True), ("founded", "founder", 0.9, True))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions import kinds as K
-from skein.functions.text import is_truthy, jaccard, words
+from skein.functions.text import expanded_name, is_truthy, jaccard, words
 
 
 def duplicate_groups(entities: DataFrame, key: str, name: Column) -> DataFrame:
@@ -76,17 +76,53 @@ def save_entities(incoming: DataFrame, order: str) -> DataFrame:
     return head.join(data, "norm", "left")
 
 
+def sharing_words(a: DataFrame, b: DataFrame, id_a: str, id_b: str, words_a: str, words_b: str, least: float) -> DataFrame:
+    """Pairs (id_a, id_b) that could share ``least`` of their words: they meet at one of their rarest.
+
+    Of n words, shared at least ``least`` of all, one is among the n - ceil(least * n) + 1
+    that fewest of ``b`` have. So a word that most names have brings nothing together
+    unless a name has no rarer one, and no pair of enough overlap is lost.
+    """
+    df = b.select(F.explode(words_b).alias("w")).groupBy("w").agg(F.count("*").alias("df"))
+
+    def rare(rows: DataFrame, key: str, words: str) -> DataFrame:
+        one = rows.select(key, F.explode(words).alias("w")).join(df, "w", "left").groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "w"))).alias("ws"))
+        n = F.size("ws")
+        return one.select(key, F.explode(F.slice("ws", F.lit(1), (n - F.ceil(F.round(n * least, 9)) + 1).cast("int"))).alias("x")).select(key, F.col("x.w").alias("w"))
+
+    return rare(a, id_a, words_a).join(rare(b, id_b, words_b), "w").select(id_a, id_b).distinct()
+
+
 def find_existing(names: DataFrame, entities: DataFrame, query: str, key: str, name: str, least: float = 0.9) -> DataFrame:
-    """For each queried name: an exact match, else the best word overlap of ``least`` or more among names sharing a word."""
-    exact = names.join(entities.select(key, F.trim(F.lower(name)).alias("_n")), F.trim(F.lower(query)) == F.col("_n")).groupBy(query).agg(F.min(key).alias(key), F.lit(1.0).alias("similarity"))
-    rest = names.join(exact.select(query), query, "left_anti")
-    q = rest.select(query, F.explode(words(query)).alias("_w"))
-    e = entities.select(key, name, F.explode(words(name)).alias("_w"))
-    near = q.join(e, "_w").select(query, key, name).distinct().withColumn("similarity", F.round(jaccard(words(query), words(name)), 6)).filter(F.col("similarity") >= least)
+    """For each queried name: an exact match, else the best word overlap of ``least`` or more; ties go to the smaller key."""
+    known = entities.groupBy(F.trim(F.lower(name)).alias("_n")).agg(F.min(key).alias(key))  # a name that many have is one row
+    exact = names.join(known, F.trim(F.lower(query)) == F.col("_n")).select(query, key, F.lit(1.0).alias("similarity"))
+    rest = names.join(exact.select(query), query, "left_anti").withColumn("_qw", words(query))
+    known = known.withColumn("_nw", words("_n"))
+    near = sharing_words(rest, known, query, "_n", "_qw", "_nw", least).join(rest, query).join(known, "_n")
+    near = near.withColumn("similarity", F.round(jaccard(F.col("_qw"), F.col("_nw")), 6)).filter(F.col("similarity") >= least)
     best = near.groupBy(query).agg(F.max_by(F.struct(key, "similarity"), F.struct("similarity", -F.col(key))).alias("b")).select(query, f"b.{key}", "b.similarity")
     return exact.unionByName(best)
 
 
+def semantic_duplicates(names: DataFrame, entities: DataFrame, query: str, kind: str, key: str, name: str, entity_kind: str, least: float = 0.85, most: int = 10) -> DataFrame:
+    """For each queried name and kind the ``most`` entities of a compatible kind most alike: equal names first, then by word overlap with abbreviations written out.
+
+    Kinds fit where they are equal, one is the other's parent, or either is generic.
+    """
+    asked = names.select(query, F.trim(F.lower(query)).alias("_q"), K.normalized_kind(F.col(kind)).alias("_qk")).withColumn("_qw", words(expanded_name("_q")))
+    known = entities.groupBy(F.trim(F.lower(name)).alias("_n"), K.normalized_kind(F.col(entity_kind)).alias("_nk")).agg(F.slice(F.array_sort(F.collect_set(key)), 1, most).alias("_keys"))
+    forms = known.select("_n").distinct().withColumn("_nw", words(expanded_name("_n")))
+    near = sharing_words(asked.select("_q", "_qw").distinct(), forms, "_q", "_n", "_qw", "_nw", least)
+    rows = near.join(asked, "_q").join(forms, "_n").join(known, "_n")
+    fits = (F.col("_qk") == F.col("_nk")) | F.col("_qk").isin(*K.GENERIC) | F.col("_nk").isin(*K.GENERIC) | K.more_specific(F.col("_qk"), F.col("_nk")) | K.more_specific(F.col("_nk"), F.col("_qk"))
+    same = F.col("_q") == F.col("_n")
+    rows = rows.withColumn("similarity", F.when(same, 1.0).otherwise(F.round(jaccard(F.col("_qw"), F.col("_nw")), 6))).filter(fits & (F.col("similarity") >= least))
+    rows = rows.select(query, "_qk", "similarity", F.when(same, "exact").otherwise("semantic").alias("match_type"), F.explode("_keys").alias(key))
+    w = Window.partitionBy(query, "_qk").orderBy(F.desc("similarity"), key)
+    return rows.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= most).drop("_r").withColumnRenamed("_qk", "kind")
+
+
 def resolve_aliases(rows: DataFrame, entities: DataFrame, key: str, aliases: str, entity: str, name: str) -> DataFrame:
     """The entity of the first alias that matches a name exactly."""
     exploded = rows.select(key, F.posexplode(aliases).alias("pos", "alias"))
@@ -111,38 +147,45 @@ def compare_names(a: Column, b: Column) -> Column:
     return jaccard(words(a), words(b))
 
 
-def dedup_scan(entities: DataFrame, key: str, name: str, kind: str, created: str, least: float = 0.85, dry_run: bool = True) -> DataFrame:
-    """Greedy grouping in order of creation inside blocks of names that share a word.
+def dedup_scan(entities: DataFrame, key: str, name: str, kind: str, created: str, richness: Column, least: float = 0.9, dry_run: bool = True) -> DataFrame:
+    """Groups of entities of one kind whose names are alike, in order of creation, and who stands for each.
 
-    The first entity of a group takes all later ones of its kind that are alike enough;
-    pairs come from an inverted index, and a member belongs to the earliest entity
-    that is not itself taken. Each block's walk is over its candidate pairs only.
+    Names are alike by the overlap of their words with abbreviations written out. The
+    first name of a group takes all later ones alike to it that none took before. For
+    the group stands the entity of the highest kind, the richest data, the longest
+    name, the smallest id, in this order. Entities of one name are one row until the end.
     """
-    from skein.functions.text import name_similarity
     from skein.operators.graph import connected_components
     from skein.sources.storage import cut
 
-    rows = entities.select(F.col(key).alias("id"), F.col(name).alias("name"), K.normalized_kind(F.col(kind)).alias("kind"), F.col(created).alias("at"))
-    w = rows.select("*", F.explode(words("name")).alias("w"))
-    other = w.select(F.col("id").alias("id2"), F.col("name").alias("name2"), "kind", F.col("at").alias("at2"), "w")
-    later = (F.col("at") < F.col("at2")) | ((F.col("at") == F.col("at2")) & (F.col("id") < F.col("id2")))
-    pairs = w.join(other, ["w", "kind"]).filter(later).select("id", "name", "at", "id2", "name2", "at2").distinct()
-    pairs = cut(pairs.withColumn("similarity", F.round(name_similarity("name", "name2"), 6)).filter(F.col("similarity") >= least), "dedup-pairs")
-    block = connected_components(pairs, "id", "id2").select(F.col("node").alias("id"), F.col("component").alias("block"))
+    rows = entities.select(F.col(key).alias("id"), F.col(name).alias("name"), K.normalized_kind(F.col(kind)).alias("kind"), F.col(created).alias("at"), richness.alias("rich"))
+    rows = rows.withColumn("form", F.array_join(F.array_sort(words(expanded_name("name"))), " "))  # equal sets of words are alike wholly
+    forms = rows.groupBy("kind", "form").agg(F.min(F.struct("at", "id")).alias("born")).withColumn("f", F.concat_ws("\n", "kind", "form"))
+    forms = cut(forms.withColumn("w", F.filter(F.split("form", " "), lambda w: w != "")).withColumn("w", F.transform("w", lambda x: F.concat_ws("\n", "kind", x))), "dedup-forms")
+    other = forms.select(F.col("f").alias("f2"), F.col("born").alias("born2"), F.col("w").alias("w2"))
+    met = sharing_words(forms.select("f", "w"), other.select("f2", "w2"), "f", "f2", "w", "w2", least).filter("f <> f2")
+    pairs = met.join(forms.select("f", "born", "w"), "f").join(other, "f2").filter(F.col("born") < F.col("born2"))
+    pairs = cut(pairs.withColumn("similarity", F.round(jaccard(F.col("w"), F.col("w2")), 6)).filter(F.col("similarity") >= least).select("f", "born", "f2", "born2", "similarity"), "dedup-pairs")
+    block = connected_components(pairs, "f", "f2").select(F.col("node").alias("f"), F.col("component").alias("block"))
+    flat = pairs.join(block, "f").select("block", "f", "f2", "similarity", F.col("born.at").alias("at"), F.col("born.id").alias("id"), F.col("born2.at").alias("at2"), F.col("born2.id").alias("id2"))
 
     def walk(group):
-        taken, out = set(), []
-        for r in group.sort_values(["at", "id", "at2", "id2"]).itertuples():
-            if r.id in taken or r.id2 in taken:
-                continue
-            taken.add(r.id2)
-            out.append((r.id, r.id2, r.similarity))
         import pandas as pd
 
-        return pd.DataFrame(out, columns=["canonical_id", "duplicate_id", "similarity"])
-
-    kind_of = dict(pairs.dtypes)["id"]
-    found = pairs.join(block, "id").groupBy("block").applyInPandas(walk, f"canonical_id {kind_of}, duplicate_id {kind_of}, similarity double")
+        taken, heads, out = set(), set(), []
+        for r in group.sort_values(["at", "id", "at2", "id2"]).itertuples():
+            if r.f in taken or r.f2 in taken or r.f2 in heads:
+                continue
+            heads.add(r.f)
+            taken.add(r.f2)
+            out.append((r.f, r.f2, r.similarity))
+        return pd.DataFrame(out, columns=["head", "f", "similarity"])
+
+    taken = flat.groupBy("block").applyInPandas(walk, "head string, f string, similarity double")
+    grouped = forms.select("kind", "form", "f").join(taken, "f", "left").select("kind", "form", F.coalesce("head", "f").alias("head"), F.coalesce("similarity", F.lit(1.0)).alias("similarity"))
+    rows = rows.join(grouped, ["kind", "form"])
+    best = rows.groupBy("head").agg(F.min_by("id", F.struct(-K.priority(F.col("kind")), -F.col("rich"), -F.length("name"), F.col("id"))).alias("canonical_id"))
+    found = rows.join(best, "head").filter("id <> canonical_id").select("canonical_id", F.col("id").alias("duplicate_id"), "similarity")
     return found if dry_run else found.select(F.col("duplicate_id").alias("old_id"), F.col("canonical_id").alias("new_id"))
 
 
@@ -151,5 +194,8 @@ def containing_names(names: DataFrame, entities: DataFrame, query: str, key: str
     from skein.functions.text import name_similarity
 
     q = names.select(query, F.explode(words(query)).alias("w"))
-    e = entities.select(key, name, F.explode(words(name)).alias("w"))
-    return q.join(e, "w").select(query, key, name).distinct().withColumn("similarity", name_similarity(query, name)).filter("similarity >= 0.85")
+    known = entities.select(name).distinct()  # a name that many have is compared once
+    e = known.select(name, F.explode(words(name)).alias("w"))
+    x, y = F.trim(F.lower(query)), F.trim(F.lower(name))
+    near = q.join(e, "w").select(query, name).distinct().filter(x.contains(y) | y.contains(x)).withColumn("similarity", name_similarity(query, name))
+    return near.join(entities.select(key, name), name).select(query, key, name, "similarity")

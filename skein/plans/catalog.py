@@ -25,4 +25,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Imports every module that registers queries."""
-    from skein.plans import graph_queries, intel_queries, knowledge_queries, page_queries, search_queries, text_queries, view_queries  # noqa: F401
+    from skein.plans import graph_queries, intel_queries, knowledge_queries, page_queries, search_queries, service_queries, text_queries, view_queries  # noqa: F401

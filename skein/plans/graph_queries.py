@@ -16,14 +16,14 @@ from skein.sources.tables import table
 
 FK_SQL = """(SELECT 'n' || n_nationkey AS src, 'r' || n_regionkey AS dst, 'part_of' AS kind FROM nation
 UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, 'based_in' FROM supplier
-UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, 'lives_in' FROM customer WHERE c_custkey <= 200)"""
+UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, 'lives_in' FROM customer)"""
 
 
 def fk_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def of(name: str, a: str, ka: str, b: str, kb: str, kind: str, keep: str = "true") -> DataFrame:
-        return table(spark, sf_dir, name).filter(keep).select(F.concat(F.lit(a), ka).alias("src"), F.concat(F.lit(b), kb).alias("dst"), F.lit(kind).alias("kind"))
+    def of(name: str, a: str, ka: str, b: str, kb: str, kind: str) -> DataFrame:
+        return table(spark, sf_dir, name).select(F.concat(F.lit(a), ka).alias("src"), F.concat(F.lit(b), kb).alias("dst"), F.lit(kind).alias("kind"))
 
-    parts = [of("nation", "n", "n_nationkey", "r", "n_regionkey", "part_of"), of("supplier", "s", "s_suppkey", "n", "s_nationkey", "based_in"), of("customer", "c", "c_custkey", "n", "c_nationkey", "lives_in", "c_custkey <= 200")]
+    parts = [of("nation", "n", "n_nationkey", "r", "n_regionkey", "part_of"), of("supplier", "s", "s_suppkey", "n", "s_nationkey", "based_in"), of("customer", "c", "c_custkey", "n", "c_nationkey", "lives_in")]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -125,19 +125,19 @@ def shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(len(path) or None, "c1", "s3")], "n_nodes int, first_node string, last_node string")
 
 
-_PART_EDGES = "(SELECT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem WHERE l_partkey <= 40)"
+_PART_EDGES = "(SELECT 'o' || l_orderkey AS src, 'p' || l_partkey AS dst FROM lineitem)"
 
 
 def part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return supply(spark, sf_dir).filter("l_partkey <= 40").select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst"))
+    return supply(spark, sf_dir).select(F.concat(F.lit("o"), "l_orderkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst"))
 
 
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT src AS a, dst AS b FROM {0} UNION SELECT DISTINCT dst, src FROM {0}),
 w(node, label) AS (SELECT a, a FROM e UNION SELECT e.b, w.label FROM w JOIN e ON e.a = w.node)
-SELECT node, min(label) AS component FROM w GROUP BY node""".format("(SELECT 'a' || o_orderkey AS src, 'a' || (o_orderkey // 3) AS dst FROM orders WHERE o_orderkey <= 300 AND o_orderkey % 5 > 0)"))
+SELECT node, min(label) AS component FROM w GROUP BY node""".format("(SELECT 'a' || o_orderkey AS src, 'a' || (o_orderkey - o_orderkey % 27 + o_orderkey % 27 // 3) AS dst FROM orders)"))
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").filter("o_orderkey <= 300 and o_orderkey % 5 > 0")
-    return G.connected_components(rows.select(F.concat(F.lit("a"), "o_orderkey").alias("src"), F.concat(F.lit("a"), F.floor(F.col("o_orderkey") / 3)).alias("dst")))
+    up = F.expr("o_orderkey - o_orderkey % 27 + (o_orderkey % 27) div 3")  # trees of up to 27 orders
+    return G.connected_components(table(spark, sf_dir, "orders").select(F.concat(F.lit("a"), "o_orderkey").alias("src"), F.concat(F.lit("a"), up).alias("dst")))
 
 
 _SHARED = "SELECT x.src AS a, y.src AS b, count(*) AS shared FROM (SELECT DISTINCT src, dst FROM {0}) x JOIN (SELECT DISTINCT src, dst FROM {0}) y ON x.dst = y.dst AND x.src < y.src GROUP BY ALL".format(_PART_EDGES)
@@ -240,9 +240,9 @@ def hybrid_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.hybrid_entities(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), "c_name"), "00001", near, "id", "c_name", 30, 0.2)
 
 
-@query("WITH a AS (SELECT source AS url, doc_id AS id, n_chars / 1000.0 AS score, 'keyword' AS source, 0 AS p FROM documents WHERE doc_id % 3 = 0), b AS (SELECT url, page_id AS id, length(html) / 2000.0 AS score, 'page' AS source, 1 AS p FROM pages) SELECT url, id, round(score, 6) AS score, source FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY score DESC, p, id) AS r FROM (SELECT * FROM a UNION ALL SELECT * FROM b)) WHERE r = 1 ORDER BY score DESC, p, url LIMIT 40")
+@query("WITH a AS (SELECT source AS url, doc_id AS id, n_chars / 1000.0 AS score, 'keyword' AS source, 0 AS p FROM documents), b AS (SELECT url, page_id AS id, length(html) / 2000.0 AS score, 'page' AS source, 1 AS p FROM pages) SELECT url, id, round(score, 6) AS score, source FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY score DESC, p, id) AS r FROM (SELECT * FROM a UNION ALL SELECT * FROM b)) WHERE r = 1 ORDER BY score DESC, p, url LIMIT 40")
 def rag_gather(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = table(spark, sf_dir, "documents").filter("doc_id % 3 = 0").select(F.col("source").alias("url"), F.col("doc_id").alias("id"), (F.col("n_chars") / 1000.0).alias("score"))
+    a = table(spark, sf_dir, "documents").select(F.col("source").alias("url"), F.col("doc_id").alias("id"), (F.col("n_chars") / 1000.0).alias("score"))
     b = table(spark, sf_dir, "pages").select("url", F.col("page_id").alias("id"), (F.length("html") / 2000.0).alias("score"))
     best = [x.groupBy("url").agg(F.max_by(F.struct("id", "score"), F.struct("score", -F.col("id"))).alias("x")).select("url", "x.*") for x in (a, b)]
     return S.gather([("keyword", best[0]), ("page", best[1])], 40).withColumn("score", F.round("score", 6))

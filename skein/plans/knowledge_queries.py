@@ -293,7 +293,7 @@ def safe_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- streams' batch twins
 @query("""
-WITH RECURSIVE e AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events WHERE user_id <= 40),
+WITH RECURSIVE e AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events),
 w AS (SELECT user_id, event_id, r, ts AS accepted_ts, true AS accepted FROM e WHERE r = 1
   UNION ALL SELECT e.user_id, e.event_id, e.r, CASE WHEN e.ts - w.accepted_ts >= INTERVAL 12 HOUR THEN e.ts ELSE w.accepted_ts END, e.ts - w.accepted_ts >= INTERVAL 12 HOUR FROM w JOIN e ON e.user_id = w.user_id AND e.r = w.r + 1)
 SELECT user_id, event_id FROM w WHERE accepted
@@ -301,7 +301,7 @@ SELECT user_id, event_id FROM w WHERE accepted
 def throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skein.streaming.throttle import throttle_batch
 
-    return throttle_batch(events(spark, sf_dir).filter("user_id <= 40"), "user_id", "ts", "event_id", 12 * 3600).select("user_id", "event_id")
+    return throttle_batch(events(spark, sf_dir), "user_id", "ts", "event_id", 12 * 3600).select("user_id", "event_id")
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

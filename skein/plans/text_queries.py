@@ -200,10 +200,9 @@ def exhaustive_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.is_exhaustive("text").alias("exhaustive"), T.truncate("text", 100).alias("short_text"))
 
 
-@query("SELECT conv_id, turn, list_sort(list_distinct(list_filter(regexp_extract_all(text, '\\b([A-Z][a-z]+(?:\\s+[A-Z][a-z]+)*)\\b', 1), lambda x: length(x) > 2 AND x NOT IN ('I', 'The', 'This', 'What', 'Who', 'When', 'Where', 'How', 'Why')))) AS mentioned FROM conversations WHERE regexp_matches(text, '^[\\x00-\\x7F]*$')")
+@query()  # where a word ends beside letters beyond ASCII differs between engines; tests hold it against plain code
 def question_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").filter(F.col("text").rlike(r"^[\x00-\x7F]*$"))  # word ends differ between engines elsewhere
-    return rows.select("conv_id", "turn", F.sort_array(T.mentions("text")).alias("mentioned"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.sort_array(T.mentions("text")).alias("mentioned"))
 
 
 @query("SELECT doc_id, count(*) AS n_headings FROM (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS line FROM documents) WHERE line <> '' AND (line LIKE '#%' OR (line LIKE '%:' AND length(line) < 80 AND len(string_split_regex(line, '\\s+')) <= 8 AND NOT regexp_matches(line, '[.!?]') AND NOT regexp_matches(lower(line), 'as follows:|are looking for|if you are|the official|you are looking')) OR regexp_matches(line, '^\\d+\\.\\s+[A-Z]') OR (line = upper(line) AND line <> lower(line) AND length(line) < 80 AND len(string_split_regex(line, '\\s+')) <= 10)) GROUP BY doc_id")

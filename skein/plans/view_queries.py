@@ -56,16 +56,28 @@ def category_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return GP.category_completeness(t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), data.alias("data")), "id", "data").select("id", "completeness")
 
 
-@query()
+_DEDUP = """WITH e AS (SELECT p_partkey AS id, p_name || CASE p_partkey % 3 WHEN 0 THEN ' co.' WHEN 1 THEN ' company' ELSE '' END AS name, CASE WHEN p_partkey % 5 = 0 THEN 'entity' ELSE 'product' END AS kind, p_size % 3 AS rich FROM part),
+g AS (SELECT *, kind AS k, CASE WHEN p = '' THEN b ELSE b || ' company' END AS g FROM (SELECT *, CASE WHEN name LIKE '% co.' THEN left(name, length(name) - 4) WHEN name LIKE '% company' THEN left(name, length(name) - 8) ELSE name END AS b, CASE WHEN name LIKE '% co.' OR name LIKE '% company' THEN 'c' ELSE '' END AS p FROM e))"""
+
+
+@query(_DEDUP + """, c AS (SELECT *, first_value(id) OVER (PARTITION BY g, k ORDER BY rich DESC, length(name) DESC, id) AS canonical_id FROM g)
+SELECT canonical_id, id AS duplicate_id FROM c WHERE id <> canonical_id""".replace("name LIKE '% company' THEN left(name, length(name) - 8)", "name LIKE '% company' THEN left(name, length(name) - 8)"))
 def dedup_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = t(spark, sf_dir, "part").filter("p_partkey < 400").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.lit("product").alias("kind"), F.col("p_partkey").alias("at"))
-    return R.dedup_scan(rows, "id", "name", "kind", "at")
+    return R.dedup_scan(_dedup_entities(spark, sf_dir), "id", "name", "kind", "at", F.col("rich")).select("canonical_id", "duplicate_id")
+
+
+def _dedup_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey") % 3
+    name = F.concat("p_name", F.when(k == 0, " co.").when(k == 1, " company").otherwise(""))
+    kind = F.when(F.col("p_partkey") % 5 == 0, "entity").otherwise("product")
+    return t(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), name.alias("name"), kind.alias("kind"), F.col("p_partkey").alias("at"), (F.col("p_size") % 3).alias("rich"))
 
 
-@query("WITH q AS (SELECT DISTINCT p_name AS q FROM part WHERE p_partkey % 20 = 0) SELECT q, p_partkey, 1.0::DOUBLE AS similarity FROM q JOIN part ON p_name = q")
+@query("WITH q AS (SELECT DISTINCT CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE p_name || ' set' END AS q FROM part) SELECT q, p_partkey, CASE WHEN p_name = q THEN 1.0 ELSE 0.85 END::DOUBLE AS similarity FROM q JOIN part ON contains(q, p_name) OR contains(p_name, q)")
 def containing_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = t(spark, sf_dir, "part")
-    return R.containing_names(p.filter("p_partkey % 20 = 0").select(F.col("p_name").alias("q")).distinct(), p, "q", "p_partkey", "p_name").filter("similarity = 1").select("q", "p_partkey", "similarity")
+    asked = p.select(F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).otherwise(F.concat("p_name", F.lit(" set"))).alias("q")).distinct()
+    return R.containing_names(asked, p, "q", "p_partkey", "p_name").select("q", "p_partkey", "similarity")
 
 
 @query("WITH s AS (SELECT user_id, avg((event_type <> 'error')::INT) AS reliability FROM events GROUP BY 1), p AS (SELECT event_type, user_id % 20 AS b, avg((value > 30)::INT) * least(1.0, count(*) / 10) AS c FROM events GROUP BY ALL) SELECT (SELECT count(*) FROM s) AS domains, (SELECT count(*) FROM s WHERE reliability > 0.7) AS reliable, (SELECT count(*) FROM p) AS patterns, (SELECT count(*) FROM p WHERE round(c, 6) > 0.7) AS trusted")

@@ -51,13 +51,15 @@ def text_of(content: str | Column, ext: Column) -> Column:
 
 
 def read_files(spark: SparkSession, path: str, most_bytes: int = 100 * 1024 * 1024, recursive: bool = True) -> DataFrame:
-    """Files below ``path`` as documents: id from the path, text where it is text, class, and quality."""
+    """Files below ``path`` as documents: id from the path, text where it is text, class, and quality. Files above ``most_bytes`` are listed without text, at quality 0."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
     ext = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
     kind = F.when(ext.isin(*TEXT), "text").when(ext.isin(*PDF), "pdf").when(ext.isin(*IMAGE), "image").when(ext.isin(*MEDIA), "media")
-    rows = raw.filter((F.col("length") <= most_bytes) & ~F.col("path").contains("..")).withColumn("ext", ext).withColumn("kind", kind).filter("kind IS NOT NULL")
-    rows = rows.withColumn("text", F.when(F.col("kind") == "text", text_of("content", F.col("ext"))))
+    rows = raw.filter(~F.col("path").contains("..")).withColumn("ext", ext).withColumn("kind", kind).filter("kind IS NOT NULL")
+    fits = F.col("length") <= most_bytes
+    rows = rows.withColumn("text", F.when((F.col("kind") == "text") & fits, text_of(F.when(fits, F.col("content")), F.col("ext"))))
     quality = F.when(F.col("kind") == "text", F.when(F.length(F.trim("text")) < 10, 0.3).otherwise(0.95)).when(F.col("kind") == "pdf", F.when(F.coalesce(letter_share("text"), F.lit(0.0)) < 0.4, 0.5).otherwise(0.7)).otherwise(0.2)
+    quality = F.when(fits, quality).otherwise(0.0)
     return rows.select(F.sha2("path", 256).alias("id"), "path", "ext", "kind", "length", "modificationTime", F.sha2("content", 256).alias("digest"), "text", quality.alias("quality"))
 
 
