@@ -3,6 +3,7 @@
 import random
 import uuid
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,7 +111,10 @@ def test_inference_and_application(spark):
 
 def test_resolution(spark):
     rows = spark.createDataFrame([(1, "Acme", "company", 1), (2, "Acme Corp", "company", 2), (3, "Zeta", "company", 3), (4, "acme", "company", 4)], "id long, name string, kind string, at long")
-    assert {(r.canonical_id, r.duplicate_id) for r in resolve.dedup_scan(rows, "id", "name", "kind", "at").collect()} == {(1, 2), (1, 4)}
+    found = resolve.dedup_scan(rows, "id", "name", "kind", "at", F.lit(0)).collect()
+    assert {(r.canonical_id, r.duplicate_id) for r in found} == {(1, 4)}
+    found = resolve.dedup_scan(rows, "id", "name", "kind", "at", F.when(F.col("id") == 4, 1).otherwise(0), 0.5).collect()
+    assert {(r.canonical_id, r.duplicate_id) for r in found} == {(4, 1), (4, 2)}  # the richest stands for the group
     ids = spark.createDataFrame([(2, 1)], "old_id long, new_id long")
     links = spark.createDataFrame([(10, 2, 3, "r"), (11, 1, 3, "r"), (12, 1, 2, "r")], "edge_id long, source_id long, target_id long, relation_type string")
     kept, moved = resolve.merge(rows, links, ids, "id", "hard")
@@ -223,3 +227,67 @@ def test_entry_without_training_data_operators(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).count() > 0 and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def _overlap(a, b):
+    x, y = set(a.split()), set(b.split())
+    return len(x & y) / len(x | y)
+
+
+def test_names_alike_against_all_pairs(spark):
+    rng = random.Random(4)
+    parts = [f"n{i}" for i in range(14)] + ["of", "the"] * 4
+    names = sorted({" ".join(rng.choice(parts) for _ in range(rng.randrange(1, 7))) for _ in range(150)})
+    rows = spark.createDataFrame(list(enumerate(names)), "id long, name string").withColumn("w", text.words("name"))
+    other = rows.select(F.col("id").alias("id2"), F.col("w").alias("w2"))
+    for least in (0.5, 0.85, 0.9):
+        met = {(r.id, r.id2) for r in resolve.sharing_words(rows, other, "id", "id2", "w", "w2", least).collect()}
+        want = {(i, j) for i, a in enumerate(names) for j, b in enumerate(names) if _overlap(a, b) >= least}
+        assert want <= met and len(met) < len(names) ** 2
+    taken, want = set(), set()
+    forms = {}
+    for i, a in enumerate(names):
+        forms.setdefault(" ".join(sorted(set(a.split()))), i)
+    heads = {}
+    for f, i in forms.items():
+        if f in taken:
+            continue
+        for g in forms:
+            if g != f and g not in taken and g not in heads and forms[g] > i and _overlap(f, g) >= 0.6:
+                taken.add(g)
+                heads[f] = heads.get(f, []) + [g]
+    group = {f: h for h, own in heads.items() for f in own}
+    for i, a in enumerate(names):
+        f = " ".join(sorted(set(a.split())))
+        members = [j for j, b in enumerate(names) if group.get(g := " ".join(sorted(set(b.split()))), g) == group.get(f, f)]
+        best = min(members, key=lambda j: (-len(names[j]), j))
+        if best != i:
+            want.add((best, i))
+    found = resolve.dedup_scan(rows.withColumn("kind", F.lit("company")), "id", "name", "kind", "id", F.lit(0), 0.6).collect()
+    assert {(r.canonical_id, r.duplicate_id) for r in found} == want
+
+
+def test_vectors_against_all_pairs(spark):
+    rng = np.random.default_rng(1)
+    vecs = np.round(rng.normal(size=(120, 4)), 1)
+    vecs[10:40] = vecs[5]  # more ties than places
+    rows = spark.createDataFrame([(i, i % 3, v.tolist()) for i, v in enumerate(vecs)], "id long, g int, v array<double>")
+    unit = vecs / np.linalg.norm(vecs, axis=1, keepdims=True)
+    scores = np.round(unit @ unit.T, 6)
+    got = {(r.query_id, r.place): r.id for r in vectors.top_k_each(rows, rows.filter("id % 10 = 5"), "v", "id", 6, batch=4, chunk=25).collect()}
+    for q in range(5, 120, 10):
+        assert [got[q, p] for p in range(1, 7)] == sorted(range(120), key=lambda i: (-scores[q, i], i))[:6]
+    pairs = {(r.a, r.b) for r in vectors.similar_pairs(rows, "id", "v", F.col("g"), 0.8, chunk=10).collect()}
+    assert pairs == {(i, j) for i in range(120) for j in range(i + 1, 120) if i % 3 == j % 3 and scores[i, j] >= 0.8}
+
+
+def test_question_mentions_of_all_turns(spark):
+    rows = spark.createDataFrame([("Who is Ann Lee in Paris?",), ("Où est Marie Curie – née?",), (None,), ("",)], "t string")
+    got = [r.m for r in rows.select(F.sort_array(text.mentions("t")).alias("m")).collect()]
+    assert got[0] == ["Ann Lee", "Paris"] and got[1] == ["Marie Curie"] and len(got) == 4
+
+
+def test_components_that_do_not_settle_are_no_result(spark):
+    path = spark.range(200).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    with pytest.raises(RuntimeError):
+        graph.connected_components(path, rounds=2)
