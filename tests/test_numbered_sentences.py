@@ -10,7 +10,7 @@ from skein.plans import catalog
 catalog.load()
 LONG = "  " + " ".join(f"{i}.{i} mark {i}!" if i % 2 else f"{i} item of {i}." for i in range(30)) + " 30"
 TEXTS = {0: LONG, 1: LONG, 2: LONG, 3: "One. Two. Three. 3abcdefgh3", 4: "", 50: LONG + "1.", 51: "0"}
-NAMES = ["split_sentences", "content_processors", "sentence_windows", "snippet_embedding_plan", "snippet_expansion", "snippet_neighbours"]
+NAMES = ["split_sentences", "content_processors", "sentence_windows", "snippet_embedding_plan", "snippet_expansion", "snippet_neighbours", "snippets_prev_next"]
 
 
 @pytest.fixture(scope="module")
