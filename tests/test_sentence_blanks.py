@@ -8,7 +8,7 @@ from skein.plans import catalog
 catalog.load()
 ODD = ["One.\x0bTwo. \x0b", " One. Two. 　Three?  Four", "One.\x01 Two\x01three. \x01", "a.   .  b", "Tab.\tFeed.\fLine.\n \n", "12345678. ", "\x01", "　"]
 TEXTS = {50 * i: (x + " Mark. ") * n for i, (x, n) in enumerate((x, n) for x in ODD for n in (1, 9))} | {1: "12345678. ", 2: "1234 \x0b", 3: "1234.\x01123456", 4: None}
-NAMES = ["sentence_windows", "snippet_embedding_plan", "snippet_expansion"]
+NAMES = ["sentence_windows", "snippet_embedding_plan", "snippet_expansion", "snippet_neighbours"]
 
 
 @pytest.mark.parametrize("name", NAMES)
